@@ -10,9 +10,11 @@ are computed once, and a shape that is drawn identically in both feeds is unchan
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ from transitlapse.operators.registry import Registry
 from transitlapse.schema import Feeds
 from transitlapse.session import cut_lineage
 
+# Ship this module's task code with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values in metres (and one cosine): tolerance, sampling step, same-corridor distance, direction gate,
 # reroute corridor and coverage, shortest run kept.
 TOL_M = 25.0
