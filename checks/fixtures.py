@@ -194,10 +194,21 @@ _DUCK = {
 
 
 def spark_view(spark, sf_dir: str, name: str):
-    names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE}
+    names = {t: _source(spark, sf_dir, t) if "{" + t + "}" in VIEWS[name] else t for t in BASE}
     return spark.sql(VIEWS[name].format(**_SPARK, **names))
 
 
+def _source(spark, sf_dir: str, table: str) -> str:
+    """Temporary view of a given table; a lone small file is spread over the cores before views multiply it."""
+    view = f"src_{table}_{re.sub(r'[^a-z0-9]', '_', sf_dir.lower())}"
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in ("customer", "orders", "lineitem", "part", "events") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    df.createOrReplaceTempView(view)
+    return view
+
+
 def duck_view(name: str) -> str:
     return VIEWS[name].format(**_DUCK, **{t: t for t in BASE})
 

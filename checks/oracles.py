@@ -800,6 +800,13 @@ Q["stops_geojson"] = f"""SELECT feed_id, stop_id, '{{"type":"Feature","geometry"
   stop_id || '","stop_name":"' || stop_name || '","primary_mode":"' || primary_mode || '",' || {flags_json()} || '}}}}' AS feature FROM op_stopmodes"""
 Q["shapes_geojson"] = f"""SELECT feed_id, shape_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":' || coords || '}},"properties":{{"shape_id":"' ||
   shape_id || '","primary_mode":"' || primary_mode || '",' || {flags_json()} || '}}}}' AS feature FROM op_shapemodes"""
+Q["ingest_tables"] = " UNION ALL ".join(
+    f"SELECT f.source_name, '{s}' AS stem, count(*) AS rows FROM fx_{s} t JOIN fx_feeds f ON f.feed_id = t.feed_id GROUP BY 1"
+    for s in ["agency", "stops", "routes", "trips", "stop_times", "calendar", "shapes", "feed_info"])
+Q["csv_scan"] = """SELECT f.source_name, s.stop_id, s.stop_name, s.stop_lat, s.stop_lon FROM fx_stops s
+  JOIN fx_feeds f ON f.feed_id = s.feed_id"""
+Q["parquet_roundtrip"] = "SELECT * FROM op_routes"
+Q["stream_ingest"] = "SELECT canonical_id, name, member_count, feed_count FROM op_canonstops"
 Q["components"] = """, op_cedge AS (SELECT 'c:' || CAST(CAST(floor(lat * 50) AS BIGINT) AS VARCHAR) AS a, 'n:' || stop_id AS b FROM op_stops),
   op_cboth AS (SELECT a, b FROM op_cedge UNION SELECT b, a FROM op_cedge),
   op_cgo AS (SELECT a AS n, a AS m FROM op_cboth UNION SELECT g.n, e.b FROM op_cgo g JOIN op_cboth e ON e.a = g.m)

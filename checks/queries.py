@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import archives
 from checks.workspace import POP_EXTENT, POP_VIEW, Workspace, workspace
 from transitlapse.functions import modes as M
 from transitlapse.functions import text as X
@@ -21,8 +22,9 @@ from transitlapse.operators import population as P
 from transitlapse.operators import registry as R
 from transitlapse.operators import service as S
 from transitlapse.operators import timeline as T
-from transitlapse.schema import capabilities
-from transitlapse.sources import geojson, store, truth
+from transitlapse.schema import STEM_COLUMNS, capabilities
+from transitlapse.sources import geojson, ingest, store, truth
+from transitlapse.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -651,11 +653,15 @@ def q_geom_samples(ws):
     units = G.scoped_shapes(ws.feeds, G.route_pairs(ws.registry, ws.pair_routes))
     split = G.direction_buckets(units).where("two_sided").select(*D.PAIR, "canonical_id", "split")
     placed = units.join(split, [*D.PAIR, "canonical_id"]).withColumn(
-        "bucket", F.when(F.col("split"), F.col("dir")).otherwise(G.UNION)).withColumnRenamed("shape_id", "gid")
-    geoms = placed.join(lines.withColumnRenamed("shape_id", "gid"), ["feed_id", "gid"])
+        "bucket", F.when(F.col("split"), F.col("dir")).otherwise(G.UNION))
+    scoped = placed.withColumn("line_no", F.concat_ws("\t", *D.PAIR, "canonical_id", "bucket"))
+    geoms = scoped.join(lines, ["feed_id", "shape_id"]).withColumnRenamed("shape_id", "g")
     segs = G.tangents(G.vertices(geoms, G.GEOM), G.GEOM)
     flagged = G.inside_flags(G.samples_of(segs, G.GEOM), G.spread(segs, G.CELL_M, G.TOL_M))
-    return flagged.groupBy(*D.PAIR, "canonical_id", "bucket", "side", "gid").agg(
+    part = lambda i: F.element_at(F.split("line_no", "\t"), i)
+    named = flagged.select("*", part(1).alias("feed_a"), part(2).alias("feed_b"), part(3).alias("canonical_id"),
+                           part(4).cast("int").alias("bucket"), F.col("g").alias("gid"))
+    return named.groupBy(*D.PAIR, "canonical_id", "bucket", "side", "gid").agg(
         F.count("*").alias("samples"), F.count_if("inside").alias("inside"),
         F.sum(F.when(F.col("inside"), F.col("i") * 1000 + F.col("s")).otherwise(0)).alias("where_inside"))
 
@@ -750,3 +756,55 @@ def q_stops_geojson(ws):
 @query
 def q_shapes_geojson(ws):
     return geojson.shape_features(S.shape_modes(ws.feeds))
+
+
+# ---- ingest and storage ----
+
+def _archives(ws: Workspace) -> str:
+    if not hasattr(ws, "_zips"):
+        path = archives.scratch(ws.spark, "archives")
+        archives.write_archives(ws.feeds, path)
+        ws._zips = f"{path}/zip"
+    return ws._zips
+
+
+def _ingested(ws: Workspace):
+    if not hasattr(ws, "_ingest"):
+        ws._ingest = ingest.ingest(ws.spark, _archives(ws), archives.scratch(ws.spark, "staging"), 1700000000000)
+    return ws._ingest
+
+
+def _by_source(feeds, df: DataFrame) -> DataFrame:
+    return df.join(feeds.feeds.select("feed_id", "source_name"), "feed_id").drop("feed_id")
+
+
+@query
+def q_ingest_tables(ws):
+    feeds, _ = _ingested(ws)
+    counts = [getattr(feeds, s).groupBy("feed_id").agg(F.count("*").alias("rows")).withColumn("stem", F.lit(s))
+              for s in STEM_COLUMNS]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return _by_source(feeds, out)
+
+
+@query
+def q_csv_scan(ws):
+    feeds, _ = _ingested(ws)
+    return _by_source(feeds, feeds.stops.select("feed_id", *STEM_COLUMNS["stops"]))
+
+
+@query
+def q_parquet_roundtrip(ws):
+    path = archives.scratch(ws.spark, "tables")
+    store.save_feeds(ws.feeds, path)
+    return S.typed_routes(store.load_feeds(ws.spark, path))
+
+
+@query
+def q_stream_ingest(ws):
+    path = archives.scratch(ws.spark, "stream")
+    watch.watch_archives(ws.spark, _archives(ws), f"{path}/staging", f"{path}/out", f"{path}/ckpt").awaitTermination()
+    built = R.load_registry(ws.spark, f"{path}/out/registry")
+    return built.canonical_stops.select("canonical_id", "name", "member_count", "feed_count")

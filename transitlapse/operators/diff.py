@@ -13,6 +13,7 @@ from transitlapse.functions import text as X
 from transitlapse.functions.geo import exact_sum, fixed, half_up, haversine_m
 from transitlapse.operators.numbering import numbered
 from transitlapse.operators.registry import Registry, longest
+from transitlapse.session import cut_lineage
 
 PAIR = ["feed_a", "feed_b"]
 # Fixed value: a stop has moved when its centroids lie further apart than this.
@@ -76,10 +77,12 @@ def route_diff(registry: Registry, pairs: DataFrame) -> DataFrame:
     side = F.coalesce("a", "b")
     long_key = X.normalize_loose(side["long_name"])
     agency = F.coalesce(X.blank_to_null(X.normalize_loose(side["agency_name"])), F.lit("__none__"))
-    lone = base.where(c("status").isin("removed", "added")).withColumn(
-        "fp", F.when(long_key != "", F.concat_ws("|", agency, side["mode"], long_key)))
-    ranked = numbered(lone.where("fp IS NOT NULL").select(*PAIR, "fp", "status", "canonical_id"),
-                      [*PAIR, "fp", "status"], ["canonical_id"], "canonical_id")
+    lone = c("status").isin("removed", "added")
+    base = cut_lineage(base.withColumn(
+        "fp", F.when(lone & (long_key != ""), F.concat_ws("|", agency, side["mode"], long_key))))
+    ranked = cut_lineage(numbered(
+        base.where("fp IS NOT NULL").select(*PAIR, "fp", "status", "canonical_id"),
+        [*PAIR, "fp", "status"], ["canonical_id"], "canonical_id"))
     gone = ranked.where("status = 'removed'").select(*PAIR, "fp", "n", c("canonical_id").alias("from_id"))
     new = ranked.where("status = 'added'").select(*PAIR, "fp", "n", c("canonical_id").alias("to_id"))
     links = gone.join(new, [*PAIR, "fp", "n"]).select(*PAIR, "from_id", "to_id")

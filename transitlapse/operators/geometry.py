@@ -45,8 +45,10 @@ REROUTE_CELL_M = 300.0
 # Bucket of a line whose feeds disagree on directions: all its shapes together.
 UNION = -9
 
-LINE = [*PAIR, "canonical_id", "bucket"]
-GEOM = [*LINE, "side", "gid"]
+SCOPE = [*PAIR, "canonical_id", "bucket"]
+# Inside the overlay a scoped line and a distinct geometry go by short numbers, not by their long ids.
+LINE = ["line_no"]
+GEOM = ["line_no", "side", "g"]
 
 
 # ---- which shapes meet which ------------------------------------------------------------------------------
@@ -185,58 +187,112 @@ def inside_flags(samples: DataFrame, cells: DataFrame) -> DataFrame:
     for k in on:
         cond = cond & (F.col(k) == F.col(f"k_{k}"))
     matched = probe.join(other, cond, "left").select(
-        *GEOM, "i", "s", "lon", "lat", "ux", "uy", "vertex", F.col("k_side").isNotNull().alias("hit"))
-    return matched.groupBy(*GEOM, "i", "s").agg(
-        *[F.any_value(k).alias(k) for k in ("lon", "lat", "ux", "uy", "vertex")], F.bool_or("hit").alias("inside"))
+        *GEOM, "i", "s", "cx", "cy", "lon", "lat", "ux", "uy", "vertex", F.col("k_side").isNotNull().alias("hit"))
+    # Grouping by the join's own keys too keeps a sample's matches where the join left them: no shuffle.
+    return matched.groupBy(*GEOM, "i", "s", "cx", "cy").agg(
+        *[F.any_value(k).alias(k) for k in ("lon", "lat", "ux", "uy", "vertex")], F.bool_or("hit").alias("inside")
+    ).drop("cx", "cy")
+
+
+def marked_points(flagged: DataFrame) -> DataFrame:
+    """Vertices, and samples whose state differs from the one before (``flip``), with their raw run number."""
+    order = W.partitionBy(*GEOM).orderBy("i", "s")
+    before = flagged.withColumn("before", F.lag(F.struct("lon", "lat", "inside")).over(order))
+    flip = F.coalesce(F.col("before.inside") != F.col("inside"), F.lit(False))
+    counted = before.withColumn("flip", flip).withColumn("run", F.sum(F.col("flip").cast("int")).over(order).cast("int"))
+    return counted.where("vertex OR flip")
 
 
 # ---- crossings --------------------------------------------------------------------------------------------
 
-def _narrow(flips: DataFrame, cells: DataFrame) -> DataFrame:
-    """One halving round of six steps: which of 64 parts of [t0, t0 + w] holds the crossing.
+def _covered_span(flips: DataFrame) -> tuple[Column, Column]:
+    """First and last position, as fractions of the line a-b, at which segment ``o_*`` covers it.
 
-    Each nearby segment says in one 64-bit mask at which of the 63 inner points it covers the line; the masks
-    are or-ed, so nothing is collected, and the six halvings read the bits.
+    The covered set is the line cut by a capsule around the segment: two discs and the band between them.
     """
     c = F.col
-    at = lambda k, axis: c(f"a_{axis}") + (c("t0") + c("w") * k / 64.0) * (c(f"b_{axis}") - c(f"a_{axis}"))
-    reach_cells = flips.withColumn("cx", F.explode(F.sequence(
+    dx, dy = c("b_x") - c("a_x"), c("b_y") - c("a_y")
+    ex, ey = c("o_n_x") - c("o_x"), c("o_n_y") - c("o_y")
+    length = F.sqrt(ex * ex + ey * ey)
+    r = F.when(F.abs(c("o_ux") * c("ux") + c("o_uy") * c("uy")) >= COS_MIN, F.lit(TOL_M)).otherwise(F.lit(TOUCH_M))
+    sq = dx * dx + dy * dy
+
+    def disc(x: str, y: str) -> tuple[Column, Column]:
+        fx, fy = c("a_x") - c(x), c("a_y") - c(y)
+        half = dx * fx + dy * fy
+        root = half * half - sq * (fx * fx + fy * fy - r * r)
+        cut = lambda sign: F.when(root >= 0, (-half + sign * F.sqrt(root)) / sq)
+        return cut(-1), cut(1)
+
+    def band(at: Column, slope: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        flat = F.abs(slope) < 1e-12
+        inside = (at >= lo) & (at <= hi)
+        p, q = (lo - at) / slope, (hi - at) / slope
+        ends = lambda far, pick: F.when(flat, F.when(inside, F.lit(far))).otherwise(F.when(p <= q, pick[0]).otherwise(pick[1]))
+        return ends(-1e9, (p, q)), ends(1e9, (q, p))
+
+    fx, fy = c("a_x") - c("o_x"), c("a_y") - c("o_y")
+    across = band((fx * -ey + fy * ex) / length, (dx * -ey + dy * ex) / length, -r, r)
+    along = band((fx * ex + fy * ey) / length, (dx * ex + dy * ey) / length, F.lit(0.0), length)
+    known = across[0].isNotNull() & along[0].isNotNull()
+    lo, hi = F.greatest(across[0], along[0]), F.least(across[1], along[1])
+    strip = (F.when(known & (lo <= hi), lo), F.when(known & (lo <= hi), hi))
+    one, two = disc("o_x", "o_y"), disc("o_n_x", "o_n_y")
+    # The three parts overlap, so their union is one stretch; least and greatest skip the empty ones.
+    return F.least(one[0], two[0], strip[0]), F.greatest(one[1], two[1], strip[1])
+
+
+def _spans(flips: DataFrame, cells: DataFrame) -> DataFrame:
+    """Stretches of each flipping step covered by segments of the other side."""
+    near_cells = flips.withColumn("cx", F.explode(F.sequence(
         F.floor(F.least("a_x", "b_x") / CELL_M), F.floor(F.greatest("a_x", "b_x") / CELL_M)))).withColumn(
         "cy", F.explode(F.sequence(
             F.floor(F.least("a_y", "b_y") / CELL_M), F.floor(F.greatest("a_y", "b_y") / CELL_M))))
     other = _facing(cells, LINE, ["x", "y", "n_x", "n_y", "ux", "uy"])
-    mask = F.aggregate(
-        F.sequence(F.lit(1), F.lit(63)), F.lit(0).cast("long"),
-        lambda acc, k: acc.bitwiseOR(F.when(
-            same_street(at(k, "x"), at(k, "y"), c("ux"), c("uy")),
-            F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))))
-    key = [*GEOM, "i", "s"]
-    masks = reach_cells.join(other, [*LINE, "side", "cx", "cy"]).groupBy(*key).agg(F.bit_or(mask).alias("mask"))
-    joined = flips.join(masks, key, "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        same = (F.call_function("shiftright", c("mask"), mid).bitwiseAND(F.lit(1).cast("long")) == 1) == c("a_inside")
-        return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"),
-                        F.when(same, acc["hi"]).otherwise(mid).alias("hi"))
+    near = near_cells.join(other, [*LINE, "side", "cx", "cy"])
+    lo, hi = _covered_span(near)
+    return near.select(*GEOM, "i", "s", lo.alias("lo"), hi.alias("hi")).where("lo IS NOT NULL").distinct()
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(F.lit(0).alias("lo"), F.lit(64).alias("hi")), halve)
-    return joined.withColumn("t0", c("t0") + c("w") * found["lo"] / 64.0).withColumn("w", c("w") / 64.0).drop("mask")
 
+def _narrow(flips: DataFrame, spans: DataFrame) -> DataFrame:
+    """One halving round of six steps: which of 64 parts of [t0, t0 + w] holds the crossing.
 
-def crossings(flagged: DataFrame, cells: DataFrame) -> DataFrame:
+    Each covered stretch says in one 64-bit mask which of the 63 inner points it holds; the masks are or-ed,
+    so nothing is collected, and the six halvings read the bits.
+    """
+    c = F.col
+    key = [*GEOM, "i", "s"]
+    near = spans.join(flips.select(*key, "t0", "w"), key)
+    first = F.greatest(F.lit(1), F.ceil((c("lo") - c("t0")) / c("w") * 64))
+    last = F.least(F.lit(63), F.floor((c("hi") - c("t0")) / c("w") * 64))
+    near = near.select(*key, first.cast("int").alias("k0"), last.cast("int").alias("k1")).where("k0 <= k1")
+    # Bits k0..k1 set: all bits from k0 up, minus all bits from k1 + 1 up.
+    from_bit = lambda k: F.when(k > 63, F.lit(0).cast("long")).otherwise(
+        F.call_function("shiftleft", F.lit(-1).cast("long"), k))
+    mask = from_bit(c("k0")).bitwiseXOR(from_bit(c("k1") + 1))
+    masks = near.groupBy(*key).agg(F.bit_or(mask).alias("mask"))
+    joined = flips.join(masks, key, "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).withColumn(
+        "part", F.lit(0))
+    for half in (32, 16, 8, 4, 2, 1):
+        mid = c("part") + half
+        bit = F.call_function("shiftright", c("mask"), mid).bitwiseAND(F.lit(1).cast("long")) == 1
+        joined = joined.withColumn("part", F.when(bit == c("a_inside"), mid).otherwise(c("part")))
+    return joined.withColumn("t0", c("t0") + c("w") * c("part") / 64.0).withColumn(
+        "w", c("w") / 64.0).select(*flips.columns)
+
+
+def crossings(marked: DataFrame, cells: DataFrame) -> DataFrame:
     """Where the state changes between two samples, to 1/4096 of their distance."""
-    order = W.partitionBy(*GEOM).orderBy("i", "s")
-    prev = flagged.withColumn("before", F.lag(F.struct("lon", "lat", "inside")).over(order))
-    flips = prev.where("before.inside <> inside").select(
+    flips = marked.where("flip").select(
         *GEOM, "i", "s", "ux", "uy", F.col("before.inside").alias("a_inside"),
         F.col("before.lon").alias("a_lon"), F.col("before.lat").alias("a_lat"),
         F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat"))
     for end in "ab":
         flips = flips.withColumn(f"{end}_x", plane_x(F.col(f"{end}_lon"))).withColumn(
             f"{end}_y", plane_y(F.col(f"{end}_lat")))
-    flips = cut_lineage(flips.withColumn("t0", F.lit(0.0)).withColumn("w", F.lit(1.0)))
-    found = _narrow(_narrow(flips, cells), cells)
+    spans = cut_lineage(_spans(flips, cells))
+    flips = flips.withColumn("t0", F.lit(0.0)).withColumn("w", F.lit(1.0))
+    found = _narrow(_narrow(flips, spans), spans)
     t = F.col("t0") + F.col("w") / 2
     at = lambda c: F.col(f"a_{c}") + t * (F.col(f"b_{c}") - F.col(f"a_{c}"))
     return found.select(*GEOM, "i", "s", at("lon").alias("lon"), at("lat").alias("lat"))
@@ -279,11 +335,8 @@ def smoothing(shortest: float) -> Callable:
     return smooth
 
 
-def run_points(flagged: DataFrame, crossed: DataFrame, shortest: float = MIN_RUN_M) -> DataFrame:
+def run_points(marked: DataFrame, crossed: DataFrame, shortest: float = MIN_RUN_M) -> DataFrame:
     """Ordered points of each geometry's runs: own vertices plus one shared point per crossing."""
-    order = W.partitionBy(*GEOM).orderBy("i", "s")
-    marked = flagged.withColumn("flip", F.coalesce(F.lag("inside").over(order) != F.col("inside"), F.lit(False)))
-    marked = marked.withColumn("run", F.sum(F.col("flip").cast("int")).over(order).cast("int"))
     state = F.struct("run", "inside")
     own = marked.where("vertex").select(*GEOM, "i", "s", F.lit(1).alias("k"), "lon", "lat", state.alias("r"))
     flips = marked.where("flip").select(*GEOM, "i", "s", F.explode(F.array(
@@ -375,33 +428,38 @@ def reroutes(points: DataFrame) -> DataFrame:
 
 # ---- the diff ---------------------------------------------------------------------------------------------
 
-def _lines_with_digest(feeds: Feeds) -> DataFrame:
-    return S.shape_lines(feeds).withColumn("digest", F.sha2(F.to_json("coords"), 256))
+def _lines_with_digest(feeds: Feeds, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Coordinate arrays of the wanted shapes with a digest that is equal for equal lines."""
+    points = S.shape_points(feeds).join(wanted.select(*key).distinct(), key, "left_semi")
+    lines = S.collect_lines(points)
+    return cut_lineage(lines.withColumn("digest", F.sha2(F.to_json("coords"), 256)))
 
 
 def overlay(units: DataFrame, lines: DataFrame, shortest: float = MIN_RUN_M) -> tuple[DataFrame, DataFrame]:
     """Compare the two sides of every line.
 
-    ``units``: LINE columns, side, feed_id, shape_id, digest of shapes on two-sided lines.
-    Returns (runs, runs_points): runs per distinct geometry (LINE, side, digest, run, status, length_m) and
-    their ordered points, reroutes marked.
+    ``units``: SCOPE columns, side, feed_id, shape_id, digest of shapes on two-sided lines.
+    Returns the ordered run points of every geometry that needed comparing, and the list of all distinct
+    geometries (SCOPE, line_no, side, g, digest, twin).
     """
-    geoms = units.groupBy(*LINE, "digest").agg(
+    numbers = cut_lineage(units.select(*SCOPE).distinct().withColumn("line_no", F.monotonically_increasing_id()))
+    geoms = units.join(numbers, SCOPE).groupBy(*SCOPE, "line_no", "digest").agg(
         *[F.min(F.when(F.col("side") == s, F.struct("feed_id", "shape_id"))).alias(f"rep_{s}") for s in "ab"])
     twin = F.col("rep_a").isNotNull() & F.col("rep_b").isNotNull()
-    reps = geoms.withColumn("twin", twin).select(*LINE, "digest", "twin", F.explode(F.array(
+    reps = geoms.withColumn("twin", twin).select(*SCOPE, "line_no", "digest", "twin", F.explode(F.array(
         F.struct(F.lit("a").alias("side"), F.col("rep_a").alias("rep")),
         F.struct(F.lit("b").alias("side"), F.col("rep_b").alias("rep")))).alias("e")).where("e.rep IS NOT NULL")
-    reps = cut_lineage(reps.select(*LINE, "e.side", F.col("digest").alias("gid"), "twin",
-                                   F.col("e.rep.feed_id").alias("feed_id"), F.col("e.rep.shape_id").alias("shape_id")))
+    reps = cut_lineage(reps.select(
+        *SCOPE, "line_no", "e.side", "digest", "twin", F.col("e.rep.feed_id").alias("feed_id"),
+        F.col("e.rep.shape_id").alias("shape_id"), F.monotonically_increasing_id().alias("g")))
     active = reps.where("NOT twin").select(*LINE).distinct()
     drawn = reps.join(active, LINE, "left_semi").join(lines, ["feed_id", "shape_id"])
     verts = vertices(drawn.select(*GEOM, "twin", "coords"), [*GEOM, "twin"])
     segments = cut_lineage(tangents(verts, [*GEOM, "twin"]))
     cells = spread(segments, CELL_M, TOL_M)
     probes = samples_of(segments.where("NOT twin"), GEOM)
-    flagged = cut_lineage(inside_flags(probes, cells))
-    points = cut_lineage(run_points(flagged, crossings(flagged, cells), shortest))
+    marked = cut_lineage(marked_points(inside_flags(probes, cells)))
+    points = cut_lineage(run_points(marked, crossings(marked, cells), shortest))
     return points, reps
 
 
@@ -437,10 +495,11 @@ RUN_COLUMNS = [*PAIR, "canonical_id", "side", "feed_id", "shape_id", "direction_
 def _spread_to_shapes(units: DataFrame, reps: DataFrame, typed: DataFrame, lines: DataFrame) -> DataFrame:
     """Give every shape the runs of its geometry; identically drawn shapes are one unchanged run."""
     direction = F.when(F.col("bucket") != UNION, F.col("bucket")).alias("direction_id")
-    own = [*LINE, "side", "digest"]
-    moved = units.join(typed.withColumnRenamed("gid", "digest"), own)
+    own = [*SCOPE, "side", "digest"]
+    placed = units.join(reps.select(*own, "g", "twin"), own)
+    moved = placed.where("NOT twin").join(typed.drop("line_no", "side"), "g")
     kept = (
-        units.join(reps.where("twin").select(*LINE, "side", F.col("gid").alias("digest")), own, "left_semi")
+        placed.where("twin")
         .join(lines.select("feed_id", "shape_id", "coords"), ["feed_id", "shape_id"])
         .withColumn("length_m", polyline_length(F.col("coords"))).where("length_m > 0")
         .withColumn("run", F.lit(0)).withColumn("status", F.lit("unchanged"))
@@ -457,14 +516,14 @@ def geometry_diff(feeds: Feeds, registry: Registry, routes: DataFrame, shortest:
 
 def diff_lines(feeds: Feeds, line_routes: DataFrame, shortest: float = MIN_RUN_M) -> DataFrame:
     """``geometry_diff`` for given lines: feed_a, feed_b, canonical_id, side, feed_id, route_id."""
-    lines = _lines_with_digest(feeds)
     shapes = cut_lineage(scoped_shapes(feeds, line_routes))
+    lines = _lines_with_digest(feeds, shapes, ["feed_id", "shape_id"])
     buckets = direction_buckets(shapes).select(*PAIR, "canonical_id", "split", "two_sided")
     placed = shapes.join(buckets, [*PAIR, "canonical_id"]).withColumn(
         "bucket", F.when(F.col("split"), F.col("dir")).otherwise(UNION))
     units = cut_lineage(placed.where("two_sided").join(
         lines.select("feed_id", "shape_id", "digest"), ["feed_id", "shape_id"]).select(
-        *LINE, "side", "feed_id", "shape_id", "digest"))
+        *SCOPE, "side", "feed_id", "shape_id", "digest"))
     points, reps = overlay(units, lines, shortest)
     typed = _typed_runs(points, reroutes(points))
     two = _spread_to_shapes(units, reps, typed, lines)
@@ -480,11 +539,11 @@ def diff_lines(feeds: Feeds, line_routes: DataFrame, shortest: float = MIN_RUN_M
 
 def feedwide_diff(feeds: Feeds, pairs: DataFrame, shortest: float = MIN_RUN_M) -> DataFrame:
     """The same overlay against all shapes of the other feed, whatever their line; no reroutes."""
-    lines = _lines_with_digest(feeds)
     side = lambda s: pairs.select(*PAIR, F.lit(s).alias("side"), F.col(f"feed_{s}").alias("feed_id"))
+    lines = _lines_with_digest(feeds, side("a").unionByName(side("b")), ["feed_id"])
     units = side("a").unionByName(side("b")).join(lines.select("feed_id", "shape_id", "digest"), "feed_id").withColumn(
         "canonical_id", F.lit("")).withColumn("bucket", F.lit(UNION)).select(
-        *LINE, "side", "feed_id", "shape_id", "digest")
+        *SCOPE, "side", "feed_id", "shape_id", "digest")
     units = cut_lineage(units)
     points, reps = overlay(units, lines, shortest)
     none = points.select(*GEOM, "run").limit(0)

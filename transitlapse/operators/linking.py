@@ -60,7 +60,9 @@ def _tiles(points: DataFrame, eps: float, group: list[str]) -> DataFrame:
     placed = points.withColumn("row", F.floor(F.col("lat") / F.lit(step)))
     placed = placed.withColumn("tx", F.floor(F.col("lon") / (_lon_step(F.col("row"), step, eps) / _SPLIT)))
     placed = placed.withColumn("ty", F.floor(F.col("lat") / F.lit(step / _SPLIT)))
-    return placed.withColumn("tile", F.concat_ws("\u0001", F.lit("tile"), *group, "tx", "ty"))
+    if group:
+        return placed.withColumn("tile", F.concat_ws("\u0001", F.lit("tile"), *group, "tx", "ty"))
+    return placed.withColumn("tile", F.col("ty") * F.lit(1 << 32) + F.col("tx") + F.lit(1 << 31))
 
 
 def _tile_pairs(tiles: DataFrame, eps: float, group: list[str]) -> DataFrame:

@@ -48,8 +48,8 @@ def stop_components(stops: DataFrame, eps: float = SCOPE_M, raw_id_m: float = RA
     named = cut_lineage(named)
     scopes = linking.spatial_scopes(named.select("key", "feed_id", "lat", "lon").distinct(), eps)
     scopes = scopes.groupBy("key").agg(F.min("scope").alias("scope"))
-    nodes = cut_lineage(
-        named.join(scopes, "key").withColumn("node", F.concat_ws("\u0001", F.lit("name"), "scope", "name_key")))
+    nodes = cut_lineage(named.join(scopes, "key").withColumn(
+        "node", F.concat_ws("\u0001", F.lit("name"), F.col("scope").cast("string"), "name_key")))
     links = linking.cross_feed_links(named.select("key", "feed_id", "lat", "lon", "raw_id"), raw_id_m, "raw_id")
     of_key = nodes.groupBy("key").agg(F.min("node").alias("node"))
     at = lambda end: of_key.select(F.col("key").alias(end), F.col("node").alias(f"{end}_node"))

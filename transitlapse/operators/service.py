@@ -79,8 +79,12 @@ def shape_points(feeds: Feeds) -> DataFrame:
 
 def shape_lines(feeds: Feeds) -> DataFrame:
     """One ordered coordinate array per shape."""
+    return collect_lines(shape_points(feeds))
+
+
+def collect_lines(points: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("seq", "lon", "lat")))
-    return shape_points(feeds).groupBy("feed_id", "shape_id").agg(
+    return points.groupBy("feed_id", "shape_id").agg(
         F.transform(ordered, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"))
 
 
