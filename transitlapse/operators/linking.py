@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges`` (src, dst) with the smallest node it is connected to.
 
     Alternates large-star and small-star steps: each pulls a node's neighbours onto the smallest of them, so
-    a hub's neighbour list is never gathered, only its minimum. Every round is checkpointed.
+    a hub's neighbour list is never gathered, only its minimum. Every round is written out.
     """
     e = edges.select("src", "dst").where("src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()

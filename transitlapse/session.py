@@ -1,22 +1,31 @@
-"""Session helpers: small-table broadcast guard and lineage cuts."""
+"""Session helper: cutting lineage through tables written to the shared folder."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a private one only when unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+@functools.lru_cache(maxsize=1)
+def _private_folder() -> str:
+    return tempfile.mkdtemp(prefix="transitlapse-ckpt-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="transitlapse-ckpt-"))
+    return named.rstrip("/") if named else _private_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so lost executors never replay the loop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Lost executors re-read it instead of replaying what led to it, later steps read only the columns they use,
+    and joins see its true size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
