@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.lru_cache(maxsize=1)
-def _private_folder() -> str:
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="transitlapse-ckpt-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (master ``local``) gets a folder of its own; a cluster has no folder
+    that all of its machines see, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _private_folder()
+    if named:
+        return named.rstrip("/")
+    if spark.conf.get("spark.master", "").partition("[")[0] == "local":
+        return _own_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
