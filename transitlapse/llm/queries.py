@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import decontaminate, packing, quality_rules, secrets, token_files
+from transitlapse.llm import decontaminate, html_text, language_id, packing, quality_classifier, quality_rules, secrets, token_files
 from transitlapse.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,26 @@ def op5_secret_scan(spark, sf_dir):
     return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
                         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
                         secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    weights = quality_classifier.train(quality_classifier.learnable(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return quality_classifier.score(docs, weights, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.learnable(docs))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return language_id.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
