@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import decontaminate, html_text, language_id, packing, quality_classifier, quality_rules, secrets, token_files
+from transitlapse.llm import decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, token_files
 from transitlapse.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op6_language_id(spark, sf_dir):
 @query
 def op10_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
