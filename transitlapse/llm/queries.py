@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, token_files
+from transitlapse.llm import decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_files
 from transitlapse.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ def op10_html_text(spark, sf_dir):
 @query
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                          F.sha2("kept", 256).alias("kept_sha256"))
