@@ -56,8 +56,9 @@ def slug(x: str) -> str:
 
 
 def natural(x: str) -> str:
-    e = f"lower(strip_accents(coalesce({x}, '')))"
-    return f"regexp_replace(regexp_replace({e}, '(\\d+)', '0000000000000000000\\1', 'g'), '\\d*(\\d{{20}})', '\\1', 'g')"
+    e = f"regexp_extract_all(lower(strip_accents(coalesce({x}, ''))), '[0-9]+|[^0-9]+')"
+    part = "lpad(CAST(length(ltrim(t, '0')) AS VARCHAR), 9, '0') || ltrim(t, '0')"
+    return f"array_to_string(list_transform({e}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN {part} ELSE t END), '')"
 
 
 def mode(x: str) -> str:
@@ -246,14 +247,17 @@ LAT6, LON6 = half("lat * 1e6"), half("lon * 1e6")
 C["op_summary"] = summary("op_group", "component")
 C["op_members"] = f"""SELECT g.feed_id, g.raw_id, g.name, g.name_key, g.lat, g.lon, i.canonical_id FROM op_group g JOIN (
   SELECT component, 's_' || CASE WHEN {LAT6} < 0 THEN 'S' ELSE 'N' END || abs({LAT6}) || '_' || CASE WHEN {LON6} < 0 THEN 'W' ELSE 'E' END
-    || abs({LON6}) || '_' || coalesce(nullif(regexp_replace(substr(name_key, 1, 24), '\\s+', '-', 'g'), ''), 'unnamed') AS canonical_id
+    || abs({LON6}) || '_' || coalesce(nullif(regexp_replace(substr(name_key, 1, 24), '\\s+', '-', 'g'), ''), 'unnamed')
+    || CASE WHEN length(name_key) > 24 OR contains(name_key, '-') OR name_key = 'unnamed' THEN '_' || substr(md5(name_key), 1, 16) ELSE '' END AS canonical_id
   FROM op_summary) i ON i.component = g.component"""
 C["op_canonstops"] = summary("op_members", "canonical_id")
 AKEY = (f"(CASE WHEN {norm_loose('agency_name')} <> '' THEN 'n:' || {norm_loose('agency_name')} "
         f"WHEN trim(coalesce(agency_id, '')) <> '' THEN 'i:' || lower(trim(agency_id)) ELSE '__none__' END)")
 NKEY = f"(CASE WHEN {norm_short('short_name')} <> '' THEN {norm_short('short_name')} ELSE {norm_loose('long_name')} END)"
 C["op_rmembers"] = f"""SELECT *, route_id AS raw_id, 'r_' || coalesce(nullif({slug(AKEY)}, ''), 'none') || '_' || mode || '_' ||
-  coalesce(nullif({slug(NKEY)}, ''), 'none') AS canonical_id FROM op_routes"""
+  coalesce(nullif({slug(NKEY)}, ''), 'none') || CASE WHEN ({AKEY} = '__none__' OR (regexp_matches({AKEY}, '^[ni]:[a-z0-9 ]{{1,23}}$') AND {slug(AKEY)} <> 'none'))
+    AND ({NKEY} = '' OR (regexp_matches({NKEY}, '^[A-Z0-9]{{1,24}}$') AND {NKEY} <> 'NONE')) THEN ''
+    ELSE '_' || substr(md5({AKEY} || '|' || mode || '|' || {NKEY}), 1, 16) END AS canonical_id FROM op_routes"""
 C["op_canonroutes"] = f"""SELECT canonical_id, {longest('short_name')} AS short_name, {longest('long_name')} AS long_name,
   coalesce(nullif({longest('agency_name')}, ''), min(agency_id), '') AS agency, min(mode) AS mode, count(*) AS member_count,
   count(DISTINCT feed_id) AS feed_count FROM op_rmembers GROUP BY 1"""
@@ -322,7 +326,7 @@ C["op_rbase"] = f"""SELECT *, CASE WHEN b_mode IS NULL THEN 'removed' WHEN a_mod
   FROM (SELECT p.*, s.* FROM op_pairs p JOIN op_rsides s ON s.feed_id = p.feed_a) a
   FULL JOIN (SELECT p.*, s.* FROM op_pairs p JOIN op_rsides s ON s.feed_id = p.feed_b) b
   ON a.feed_a = b.feed_a AND a.feed_b = b.feed_b AND a.canonical_id = b.canonical_id)"""
-C["op_rlone"] = f"""SELECT *, row_number() OVER (PARTITION BY feed_a, feed_b, fp, status ORDER BY substr(md5(canonical_id), 1, 2), canonical_id) AS n
+C["op_rlone"] = f"""SELECT *, row_number() OVER (PARTITION BY feed_a, feed_b, fp, status ORDER BY canonical_id) AS n
   FROM (SELECT *, coalesce(nullif({norm_loose('coalesce(a_agency_name, b_agency_name)')}, ''), '__none__') || '|' || coalesce(a_mode, b_mode)
     || '|' || {norm_loose('coalesce(a_long_name, b_long_name)')} AS fp FROM op_rbase
     WHERE status IN ('added', 'removed') AND {norm_loose('coalesce(a_long_name, b_long_name)')} <> '')"""
@@ -411,11 +415,22 @@ C["op_ranked"] = f"""SELECT * FROM (SELECT *, CASE interval_class
   FROM (SELECT s.*, d.departures, 840e0 / (d.departures * 0.5e0) AS interval_min FROM op_stopmodes s
     JOIN op_departures d ON d.feed_id = s.feed_id AND d.stop_id = s.stop_id))) WHERE category IS NOT NULL"""
 
-from transitlapse.operators import grades as _gr  # noqa: E402  (window numbers of the request only)
-from transitlapse.operators import population as _pop  # noqa: E402
-from checks.workspace import POP_EXTENT, POP_VIEW, VIEW  # noqa: E402
+from types import SimpleNamespace  # noqa: E402
 
-_W = _gr.cell_window(VIEW)
+# Requested windows on the two lattices, stated on their own: first pixel, pixels, west, north, cell size.
+_PER_DEGREE = 1 / 0.0008333333300327
+POP_VIEW, POP_EXTENT = (13.2, 47.1, 14.6, 47.7), (13.0, 47.0, 15.1, 48.0)
+
+
+def window(west: float, north: float, box: tuple[float, float, float, float]) -> SimpleNamespace:
+    px = lambda deg: math.floor(deg * _PER_DEGREE + 0.5)
+    left, top = px(box[0] - west), px(north - box[3])
+    cols, rows = px(box[2] - west) - left, px(north - box[1]) - top
+    return SimpleNamespace(left=left, top=top, cols=cols, rows=rows, west=west + left / _PER_DEGREE,
+                           north=north - top / _PER_DEGREE, cell_x=1 / _PER_DEGREE, cell_y=1 / _PER_DEGREE)
+
+
+_W = window(-20.0, 60.0, (13.0, 47.0, 14.9, 47.9))
 
 
 def num(x: float) -> str:
@@ -427,8 +442,10 @@ CLON = f"({num(_W.west)} + (c.col + 0.5e0) * {num(_W.cell_x)})"
 C["op_gridraw"] = f"""SELECT feed_id, row, col, grade, dist_m, category FROM (
   SELECT s.feed_id, r.row, c.col, s.category, {hav('s.lat', 's.lon', CLAT, CLON)} AS dist_m
   FROM (SELECT DISTINCT feed_id, lat, lon, category FROM op_ranked) s
-  JOIN (SELECT CAST(range AS BIGINT) AS row FROM range({_W.rows})) r ON abs({CLAT} - s.lat) < 0.0120
-  JOIN (SELECT CAST(range AS BIGINT) AS col FROM range({_W.cols})) c ON abs({CLON} - s.lon) < 0.0180) x,
+  JOIN LATERAL (SELECT unnest(range(greatest(0, CAST(floor(({num(_W.north)} - s.lat - 0.012e0) / {num(_W.cell_y)}) AS BIGINT)),
+    least({_W.rows}, CAST(ceil(({num(_W.north)} - s.lat + 0.012e0) / {num(_W.cell_y)}) AS BIGINT)))) AS row) r ON true
+  JOIN LATERAL (SELECT unnest(range(greatest(0, CAST(floor((s.lon - {num(_W.west)} - 0.018e0) / {num(_W.cell_x)}) AS BIGINT)),
+    least({_W.cols}, CAST(ceil((s.lon - {num(_W.west)} + 0.018e0) / {num(_W.cell_x)}) AS BIGINT)))) AS col) c ON true) x,
   LATERAL (SELECT CASE category WHEN 1 THEN [0, 0, 1, 2, 3] WHEN 2 THEN [0, 1, 2, 3, 4] WHEN 3 THEN [1, 2, 3, 4, 5] WHEN 4 THEN [2, 3, 4, 5, 6]
       WHEN 5 THEN [3, 4, 5, 6, 6] WHEN 6 THEN [4, 5, 6, NULL, NULL] WHEN 7 THEN [5, 6, 6, NULL, NULL] ELSE [6, 6, NULL, NULL, NULL] END[
       CASE WHEN dist_m <= 300 THEN 1 WHEN dist_m <= 500 THEN 2 WHEN dist_m <= 750 THEN 3 WHEN dist_m <= 1000 THEN 4 WHEN dist_m <= 1250 THEN 5 END] AS grade)
@@ -460,20 +477,17 @@ C["op_gradechange"] = """SELECT coalesce(a.feed_a, b.feed_a) AS feed_a, coalesce
 
 
 def pop_grid(win) -> str:
-    def cell(at: str, span: int, count: int) -> str:
-        return (f"CAST(CASE WHEN yr = 2025 THEN floor(({at}) / {win.level}e0) ELSE least({count - 1}e0, floor(({at}) * {count} / {span}e0)) END AS BIGINT)")
-    y, x = f"px_row - {win.top}", f"px_col - {win.left}"
-    return f"""SELECT * FROM (SELECT yr, {cell(y, win.height, win.rows)} AS row, {cell(x, win.width, win.cols)} AS col,
+    return f"""SELECT yr, CAST(px_row - {win.top} AS BIGINT) AS row, CAST(px_col - {win.left} AS BIGINT) AS col,
       CAST(sum(CAST(value * CASE WHEN yr = 2025 THEN 1e0 ELSE 0.01e0 END AS DECIMAL(28, 6))) AS DOUBLE) AS people FROM fx_pop_pixels
-      WHERE px_col >= {win.left} AND px_col < {win.left + win.width} AND px_row >= {win.top} AND px_row < {win.top + win.height}
-      GROUP BY 1, 2, 3) WHERE row < {win.rows} AND col < {win.cols}"""
+      WHERE px_col >= {win.left} AND px_col < {win.left + win.cols} AND px_row >= {win.top} AND px_row < {win.top + win.rows}
+      GROUP BY 1, 2, 3"""
 
 
 def hectares(win) -> str:
     return (f"({num(win.cell_x * win.cell_y * 111320.0 * 111320.0 / 10000)} * cos(radians({num(win.north)} - (row + 0.5e0) * {num(win.cell_y)})))")
 
 
-_V, _X = _pop.pixel_window(POP_VIEW), _pop.pixel_window(POP_EXTENT)
+_V, _X = (window(-180.00041593133002, 89.09208317767579, box) for box in (POP_VIEW, POP_EXTENT))
 C["op_popview"] = pop_grid(_V)
 C["op_popextent"] = pop_grid(_X)
 C["op_popscale"] = f"""SELECT *, CASE WHEN p_value > 0 THEN p_value ELSE top END AS scale FROM (SELECT yr, {p95('density')} AS p_value, max(density) AS top
@@ -625,7 +639,7 @@ Q: dict[str, str] = {
         count(*) FILTER (WHERE NOT predicted AND same) AS fn, count(*) FILTER (WHERE predicted IS NULL) AS unknown FROM op_judged GROUP BY 1))""",
     "match_mistakes": "SELECT * FROM op_judged WHERE predicted <> same",
     "registry_browse": """SELECT canonical_id, name, member_count, feed_count FROM op_canonstops WHERE feed_count >= 2 AND
-      (contains(lower(name), 'platz') OR contains(lower(canonical_id), 'platz')) ORDER BY feed_count DESC, member_count DESC, name, canonical_id LIMIT 500""",
+      (contains(lower(name), 'platz') OR contains(lower(canonical_id), 'platz')) ORDER BY feed_count DESC, member_count DESC, name, canonical_id""",
     "registry_stale": """SELECT feed_id, 'unloaded' AS change FROM (SELECT DISTINCT feed_id FROM op_stops) WHERE feed_id NOT IN (
       SELECT feed_id FROM fx_feeds WHERE source_name NOT LIKE 'asia%')""",
     "stop_diff": f"""SELECT feed_a, feed_b, canonical_id, status, label, moved, renamed, {half('dist_m', 3)} AS dist_m, a_name, {half('a_lat', 6)} AS a_lat,
@@ -777,8 +791,8 @@ def route_delta(x: str) -> str:
 
 BOTH = "d.status IN ('moved', 'renamed')"
 MOD = "d.status = 'modified'"
-Q["gtfs_diff_export"] = f"""SELECT feed_a, feed_b, row_number() OVER (PARTITION BY feed_a, feed_b ORDER BY substr(md5(place), 1, 2), place) AS id, file, action, 'row' AS target,
-  identifier, initial_value, new_value, note FROM (SELECT *, file || chr(9) || entry_id || chr(9) || action || chr(9) || raw_id AS place FROM (
+Q["gtfs_diff_export"] = f"""SELECT feed_a, feed_b, row_number() OVER (PARTITION BY feed_a, feed_b ORDER BY file = 'routes.txt', entry_id, action, raw_id) AS id, file, action, 'row' AS target,
+  identifier, initial_value, new_value, note FROM (SELECT * FROM (
   SELECT e.feed_a, e.feed_b, 'stops.txt' AS file, CASE WHEN {BOTH} THEN 'update' WHEN e.side = 'a' THEN 'delete' ELSE 'add' END AS action,
     CASE WHEN e.side = 'a' THEN {js(("stop_id", "e.raw_id"))} END AS identifier, CASE WHEN {BOTH} THEN {stop_delta('a')} WHEN e.side = 'a' THEN {stop_row('a')} END AS initial_value,
     CASE WHEN {BOTH} THEN {stop_delta('b')} WHEN e.side = 'b' THEN {stop_row('b')} END AS new_value, '' AS note, e.entry_id, e.raw_id

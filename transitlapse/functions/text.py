@@ -84,16 +84,26 @@ def normalize_loose(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(fold(c)), PUNCTUATION_AND_HYPHEN, " "))
 
 
+SLUG_LENGTH = 24
+
+
 def slug(c: Column) -> Column:
+    """Readable part of an id; only ``digest`` tells apart what it drops or cuts off."""
     s = F.regexp_replace(c, WS + "+", "-")
-    return F.lower(F.substring(F.regexp_replace(s, "(?i)[^a-z0-9-]", ""), 1, 24))
+    return F.lower(F.substring(F.regexp_replace(s, "(?i)[^a-z0-9-]", ""), 1, SLUG_LENGTH))
+
+
+def digest(*keys: Column) -> Column:
+    """Part of an id for what the readable parts leave out of the full keys."""
+    return F.substring(F.md5(F.concat_ws("|", *keys)), 1, 16)
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key: accent- and case-blind text with every digit run padded so it compares as a number."""
-    s = F.lower(strip_accents(F.coalesce(c, F.lit(""))))
-    s = F.regexp_replace(s, r"(\d+)", "0000000000000000000$1")
-    return F.regexp_replace(s, r"\d*(\d{20})", "$1")
+    """Sort key: accent- and case-blind text; a digit run is led by its number of digits, so it compares as a number."""
+    parts = F.regexp_extract_all(F.lower(strip_accents(F.coalesce(c, F.lit("")))), F.lit(r"\d+|\D+"), F.lit(0))
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(
+        x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 9, "0"), digits(x))).otherwise(x)), "")
 
 
 def line_sort_key(c: Column) -> Column:

@@ -82,7 +82,7 @@ def route_diff(registry: Registry, pairs: DataFrame) -> DataFrame:
         "fp", F.when(lone & (long_key != ""), F.concat_ws("|", agency, side["mode"], long_key))))
     ranked = cut_lineage(numbered(
         base.where("fp IS NOT NULL").select(*PAIR, "fp", "status", "canonical_id"),
-        [*PAIR, "fp", "status"], ["canonical_id"], "canonical_id"))
+        [*PAIR, "fp", "status"], ["canonical_id"]))
     gone = ranked.where("status = 'removed'").select(*PAIR, "fp", "n", c("canonical_id").alias("from_id"))
     new = ranked.where("status = 'added'").select(*PAIR, "fp", "n", c("canonical_id").alias("to_id"))
     links = gone.join(new, [*PAIR, "fp", "n"]).select(*PAIR, "from_id", "to_id")
@@ -226,8 +226,8 @@ def gtfs_diff_export(registry: Registry, stops: DataFrame, routes: DataFrame) ->
         F.when(mod, r_delta("b")).when(c("side") == "b", route_json("b")).otherwise(keep).alias("new_value"),
         F.when(c("status") == "renumbered", "renumbered").otherwise("").alias("note"), "entry_id", "raw_id")
 
-    rows = stop_rows.unionByName(route_rows).withColumn("at", F.concat_ws("\t", "file", "entry_id", "action", "raw_id"))
-    out = numbered(rows, PAIR, ["at"], "at", "id")
+    rows = stop_rows.withColumn("part", F.lit(1)).unionByName(route_rows.withColumn("part", F.lit(2)))
+    out = numbered(rows, PAIR, ["part", "entry_id", "action", "raw_id"], "id")
     return out.select(*PAIR, "id", "file", "action", F.lit("row").alias("target"), "identifier",
                       "initial_value", "new_value", "note")
 

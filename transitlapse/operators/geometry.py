@@ -9,6 +9,8 @@ are computed once, and a shape that is drawn identically in both feeds is unchan
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 import sys
 from collections.abc import Callable
@@ -303,28 +305,39 @@ def crossings(marked: DataFrame, cells: DataFrame) -> DataFrame:
 def merge_short(lengths: list[float], inside: list[bool], shortest: float) -> list[tuple[int, bool]]:
     """New run number and state of each run of one shape, once no run is shorter than ``shortest``.
 
-    Again and again the shortest run joins its longer neighbour (the left one on a tie) and takes its state;
-    neighbours left in the same state become one run.
+    The shortest run left (the first of equals) joins its longer neighbour, the left one on a tie, until all are long
+    enough. A queue holds each run's length; lengths that have changed since are passed over. Every run then has the
+    state of the one it ended up in, and a new number starts where the state changes.
     """
-    runs = [[ln, st, [k]] for k, (ln, st) in enumerate(zip(lengths, inside))]
-    while len(runs) > 1:
-        at = min(range(len(runs)), key=lambda k: runs[k][0])
-        if runs[at][0] >= shortest:
+    size, joined = list(lengths), list(range(len(lengths)))
+    before, after = [k - 1 for k in joined], [k + 1 for k in joined]
+    queue = list(zip(size, joined))
+    heapq.heapify(queue)
+    while queue:
+        length, k = heapq.heappop(queue)
+        if joined[k] != k or length != size[k]:
+            continue
+        left, right = before[k], after[k]
+        beside = [j for j in (left, right) if 0 <= j < len(size)]
+        if length >= shortest or not beside:
             break
-        left = runs[at - 1][0] if at > 0 else -1.0
-        right = runs[at + 1][0] if at + 1 < len(runs) else -1.0
-        into = at + 1 if right > left else at - 1
-        runs[into][0] += runs[at][0]
-        runs[into][2] += runs[at][2]
-        del runs[at]
-    out: list[tuple[int, bool]] = [(0, False)] * len(lengths)
-    number, last = -1, None
-    for _, state, parts in runs:
-        number += state != last
-        last = state
-        for k in parts:
-            out[k] = (number, state)
-    return out
+        into = max(beside, key=lambda j: size[j])
+        joined[k], size[into] = into, size[into] + length
+        heapq.heappush(queue, (size[into], into))
+        if left >= 0:
+            after[left] = right
+        if right < len(size):
+            before[right] = left
+
+    def state(k: int) -> bool:
+        while joined[k] != k:
+            joined[k] = joined[joined[k]]
+            k = joined[k]
+        return inside[k]
+
+    states = [state(k) for k in range(len(size))]
+    changes = [int(k == 0 or states[k] != states[k - 1]) for k in range(len(size))]
+    return [(n - 1, st) for n, st in zip(itertools.accumulate(changes), states)]
 
 
 def smoothing(shortest: float) -> Callable:

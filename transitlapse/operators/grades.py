@@ -16,7 +16,6 @@ from transitlapse.schema import Feeds
 # Fixed values of the grading method and its raster.
 GRID_WEST, GRID_NORTH = -20.0, 60.0
 PX_PER_DEG = 1 / 0.0008333333300327
-MAX_CELLS = 180
 WINDOW_MIN = 840.0
 MODE_CATEGORY = {"rail": 2, "metro": 2, "tram": 3, "bus": 4, "other": 4}
 STOP_CATEGORY = [  # rows: interval class 0..7, columns: mode category 1..4
@@ -45,15 +44,13 @@ class CellWindow:
     rows: int
 
 
-def cell_window(bbox: tuple[float, float, float, float], max_cells: int = MAX_CELLS) -> CellWindow:
+def cell_window(bbox: tuple[float, float, float, float]) -> CellWindow:
+    """The raster's own cells that a request covers."""
     w, s, e, n = bbox
     px = lambda deg: math.floor(deg * PX_PER_DEG + 0.5)
     left, right, top, bottom = px(w - GRID_WEST), px(e - GRID_WEST), px(GRID_NORTH - n), px(GRID_NORTH - s)
-    cols, rows = min(max(0, right - left), max_cells), min(max(0, bottom - top), max_cells)
-    return CellWindow(
-        GRID_WEST + left / PX_PER_DEG, GRID_NORTH - top / PX_PER_DEG,
-        (right - left) / PX_PER_DEG / cols if cols else 0.0,
-        (bottom - top) / PX_PER_DEG / rows if rows else 0.0, cols, rows)
+    return CellWindow(GRID_WEST + left / PX_PER_DEG, GRID_NORTH - top / PX_PER_DEG, 1 / PX_PER_DEG, 1 / PX_PER_DEG,
+                      max(0, right - left), max(0, bottom - top))
 
 
 def _lookup(table: list, at: Column) -> Column:

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from transitlapse.session import cut_lineage
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], salt: str, name: str = "n") -> DataFrame:
-    """1, 2, 3... within ``keys``, ordered by a digest bucket of ``salt`` and then ``order``.
 
-    Rows are numbered inside 256 buckets and shifted by the counts of the buckets before.
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """1, 2, 3... within ``keys``, in the order of ``order``.
+
+    Rows are cut into ranges of (keys, order), numbered inside their range and shifted by the counts of the ranges
+    before, so that a large group is never in one task.
     """
-    cut = df.withColumn("_b", F.substring(F.md5(F.col(salt).cast("string")), 1, 2))
+    cut = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_b", F.spark_partition_id()))
     inside = W.partitionBy(*keys, "_b").orderBy(*order)
     counts = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

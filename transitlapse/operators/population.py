@@ -13,11 +13,9 @@ from transitlapse.functions.geo import M_PER_DEG, cell_polygon
 from transitlapse.operators.diff import PAIR
 from transitlapse.operators.numbering import nearest_rank
 
-# Lattice origin and pitch, cell levels, size cap, year coverage, unit of the yearly series.
+# Lattice origin and pitch, year coverage, unit of the yearly series.
 ORIGIN_WEST, ORIGIN_NORTH = -180.00041593133002, 89.09208317767579
 PX_PER_DEG = 1 / 0.0008333333300327
-LEVELS = [1, 3, 5, 11, 27, 54, 108, 216]
-MAX_CELLS = 220
 FIRST_YEAR, LAST_YEARLY, EPOCH_YEAR = 2000, 2021, 2025
 YEARLY_UNIT = 1 / 100
 DISTRICT_YEAR = 2026
@@ -40,23 +38,18 @@ class PixelWindow:
     cell_y: float
 
 
-def pyramid_level(span_px: int) -> int:
-    return next((lv for lv in LEVELS if math.ceil(span_px / lv) <= MAX_CELLS), LEVELS[-1])
-
-
-def pixel_window(bbox: Bbox) -> PixelWindow:
+def pixel_window(bbox: Bbox, level: int = 1) -> PixelWindow:
+    """The pixels of a request in cells of ``level`` x ``level`` pixels; the last row and column may be cut off."""
     w, s, e, n = bbox
     px = lambda deg: math.floor(deg * PX_PER_DEG + 0.5)
     left, right = px(w - ORIGIN_WEST), px(e - ORIGIN_WEST)
     top, bottom = px(ORIGIN_NORTH - n), px(ORIGIN_NORTH - s)
     width, height = max(0, right - left), max(0, bottom - top)
     if not width or not height:
-        return PixelWindow(left, top, 0, 0, 1, 0, 0, w, n, 1.0, 1.0)
-    level = pyramid_level(max(width, height))
-    cols, rows = min(MAX_CELLS, math.ceil(width / level)), min(MAX_CELLS, math.ceil(height / level))
-    return PixelWindow(left, top, width, height, level, cols, rows,
+        return PixelWindow(left, top, 0, 0, level, 0, 0, w, n, 1.0, 1.0)
+    return PixelWindow(left, top, width, height, level, math.ceil(width / level), math.ceil(height / level),
                        ORIGIN_WEST + left / PX_PER_DEG, ORIGIN_NORTH - top / PX_PER_DEG,
-                       width / PX_PER_DEG / cols, height / PX_PER_DEG / rows)
+                       level / PX_PER_DEG, level / PX_PER_DEG)
 
 
 def population_year(year: Column) -> Column:
@@ -75,18 +68,12 @@ def pixel_counts(pixels: DataFrame) -> DataFrame:
 
 def population_grid(pixels: DataFrame, win: PixelWindow) -> DataFrame:
     """People per output cell and year, summed over the window's pixels; empty cells have no row."""
-    x, y = F.col("px_col") - win.left, F.col("px_row") - win.top
-
-    def cell(at: Column, span: int, count: int) -> Column:
-        spread = F.least(F.lit(count - 1), F.floor(at * count / F.lit(float(max(span, 1)))))
-        return F.when(F.col("yr") == EPOCH_YEAR, F.floor(at / win.level)).otherwise(spread)
-
+    cell = lambda c, first: F.floor((F.col(c) - first) / win.level)
     return (
         pixel_counts(pixels)
         .where((F.col("px_col") >= win.left) & (F.col("px_col") < win.left + win.width)
                & (F.col("px_row") >= win.top) & (F.col("px_row") < win.top + win.height))
-        .select("yr", cell(y, win.height, win.rows).alias("row"), cell(x, win.width, win.cols).alias("col"), "people")
-        .where((F.col("row") < win.rows) & (F.col("col") < win.cols))
+        .select("yr", cell("px_row", win.top).alias("row"), cell("px_col", win.left).alias("col"), "people")
         .groupBy("yr", "row", "col").agg(F.sum(F.col("people").cast("decimal(28,6)")).cast("double").alias("people"))
     )
 

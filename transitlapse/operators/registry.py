@@ -84,11 +84,13 @@ def _stop_summary(df: DataFrame, by: str) -> DataFrame:
 
 def stop_canonical_id(lat: Column, lon: Column, name_key: Column) -> Column:
     lat6, lon6 = half_up(lat * 1e6), half_up(lon * 1e6)
-    slug = F.regexp_replace(F.substring(name_key, 1, 24), X.WS + "+", "-")
+    slug = F.regexp_replace(F.substring(name_key, 1, X.SLUG_LENGTH), X.WS + "+", "-")
+    lossy = (F.length(name_key) > X.SLUG_LENGTH) | F.contains(name_key, F.lit("-")) | (name_key == "unnamed")
     return F.concat(
         F.lit("s_"), F.when(lat6 < 0, "S").otherwise("N"), F.abs(lat6).cast("string"),
         F.lit("_"), F.when(lon6 < 0, "W").otherwise("E"), F.abs(lon6).cast("string"),
-        F.lit("_"), F.coalesce(X.blank_to_null(slug), F.lit("unnamed")))
+        F.lit("_"), F.coalesce(X.blank_to_null(slug), F.lit("unnamed")),
+        F.when(lossy, F.concat(F.lit("_"), X.digest(name_key))).otherwise(""))
 
 
 def match_stops(feeds: Feeds, eps: float = SCOPE_M) -> DataFrame:
@@ -100,7 +102,7 @@ def match_stops(feeds: Feeds, eps: float = SCOPE_M) -> DataFrame:
 
 
 def canonical_stops(members: DataFrame) -> DataFrame:
-    """Summary per canonical id; groups that slug to one id share one row."""
+    """Summary per canonical id."""
     return _stop_summary(members, "canonical_id")
 
 
@@ -116,8 +118,11 @@ def match_routes(feeds: Feeds) -> DataFrame:
     short = X.normalize_route_short_name(F.col("short_name"))
     name = F.when(short != "", short).otherwise(X.normalize_loose(F.col("long_name")))
     or_none = lambda c: F.coalesce(X.blank_to_null(X.slug(c)), F.lit("none"))
-    # Canonical ids merge the rare groups whose slugs coincide.
-    cid = F.concat_ws("_", F.lit("r"), or_none(key), F.col("mode"), or_none(name))
+    # The readable id is enough where both parts keep their whole key.
+    whole = ((key == "__none__") | (key.rlike(r"^[ni]:[a-z0-9 ]{1,23}$") & (X.slug(key) != "none"))) & (
+        (name == "") | (name.rlike(r"^[A-Z0-9]{1,24}$") & (name != "NONE")))
+    cid = F.concat_ws("_", F.lit("r"), or_none(key), F.col("mode"), or_none(name), F.when(
+        ~whole, X.digest(key, F.col("mode"), name)))
     return raw_routes(feeds).withColumn("canonical_id", cid)
 
 
@@ -238,18 +243,17 @@ def match_mistakes(evaluated: DataFrame) -> DataFrame:
     return evaluated.where("predicted IS NOT NULL AND predicted <> same")
 
 
-def browse(canonicals: DataFrame, text: str = "", min_feeds: int = 1, limit: int = 500) -> DataFrame:
-    """Search canonicals by name, id (and agency); widest first, at most ``limit`` rows."""
+def browse(canonicals: DataFrame, text: str = "", min_feeds: int = 1, limit: int | None = None) -> DataFrame:
+    """Search canonicals by name, id (and agency); widest first, all of them unless a ``limit`` is asked for."""
     fields = [c for c in ("name", "short_name", "long_name", "agency", "canonical_id") if c in canonicals.columns]
     q = text.strip().lower()
     hit = F.lit(not q)
     for f in fields:
         hit = hit | F.contains(F.lower(F.col(f)), F.lit(q))
     name = "name" if "name" in canonicals.columns else "short_name"
-    return (
-        canonicals.where((F.col("feed_count") >= min_feeds) & hit)
-        .orderBy(F.desc("feed_count"), F.desc("member_count"), name, "canonical_id").limit(limit)
-    )
+    found = canonicals.where((F.col("feed_count") >= min_feeds) & hit).orderBy(
+        F.desc("feed_count"), F.desc("member_count"), name, "canonical_id")
+    return found if limit is None else found.limit(limit)
 
 
 def stale_feeds(built: DataFrame, loaded: DataFrame) -> DataFrame:
