@@ -519,10 +519,8 @@ def meets(box: tuple) -> str:
 
 
 # ---- inspector ----
-C["op_proutes"] = "SELECT d.* FROM op_routediff d JOIN op_auto p ON p.feed_a = d.feed_a AND p.feed_b = d.feed_b"
-C["op_pentry"] = "SELECT d.* FROM op_entryroutes d JOIN op_auto p ON p.feed_a = d.feed_a AND p.feed_b = d.feed_b"
 C["op_dirs"] = """SELECT e.feed_a, e.feed_b, e.entry_id, e.side, e.raw_id AS route_id, d.*,
-  CASE WHEN d.headsign <> '' THEN d.headsign ELSE d.last_stop END AS sign FROM op_pentry e
+  CASE WHEN d.headsign <> '' THEN d.headsign ELSE d.last_stop END AS sign FROM op_entryroutes e
   JOIN op_directions d ON d.feed_id = e.feed_id AND d.route_id = e.raw_id"""
 C["op_served"] = """SELECT DISTINCT feed_a, feed_b, entry_id, dir AS direction_id, side, stop_id AS raw_id FROM op_dirs WHERE dir <> -1"""
 C["op_chosen"] = """SELECT d.*, m.canonical_id FROM op_dirs d JOIN (SELECT feed_a, feed_b, entry_id, dir, side, first(route_id ORDER BY n_stops DESC, route_id) AS route_id
@@ -555,10 +553,10 @@ C["op_tangents"] = """SELECT l.*, CASE WHEN n = 0 THEN 0e0 ELSE dx / n END AS ux
   SELECT v.*, f.x + (at_f - f.u) / (f.n_u - f.u) * (f.n_x - f.x) - (b.x + (at_b - b.u) / (b.n_u - b.u) * (b.n_x - b.x)) AS dx,
     f.y + (at_f - f.u) / (f.n_u - f.u) * (f.n_y - f.y) - (b.y + (at_b - b.u) / (b.n_u - b.u) * (b.n_y - b.y)) AS dy, sqrt(dx * dx + dy * dy) AS n
   FROM (SELECT *, greatest(0e0, u - 1) AS at_b, least(end_u, u + 1) AS at_f FROM op_legs WHERE n_u IS NOT NULL) v
-  JOIN op_legs b ON b.feed_id = v.feed_id AND b.shape_id = v.shape_id AND b.n_u IS NOT NULL AND b.u <= at_b AND (at_b < b.n_u)
-  JOIN op_legs f ON f.feed_id = v.feed_id AND f.shape_id = v.shape_id AND f.n_u IS NOT NULL AND f.u < at_f AND at_f <= f.n_u) l"""
+  ASOF JOIN (SELECT * FROM op_legs WHERE n_u > u) b ON b.feed_id = v.feed_id AND b.shape_id = v.shape_id AND v.at_b >= b.u
+  ASOF JOIN (SELECT * FROM op_legs WHERE n_u > u) f ON f.feed_id = v.feed_id AND f.shape_id = v.shape_id AND v.at_f > f.u) l"""
 C["op_units"] = """SELECT s.feed_a, s.feed_b, s.canonical_id, CASE WHEN b.split THEN s.dir ELSE -9 END AS bucket, s.side, s.feed_id, s.shape_id
-  FROM op_lineshapes s JOIN op_auto p ON p.feed_a = s.feed_a AND p.feed_b = s.feed_b
+  FROM op_lineshapes s
   JOIN op_buckets b ON b.feed_a = s.feed_a AND b.feed_b = s.feed_b AND b.canonical_id = s.canonical_id AND b.two_sided"""
 C["op_probes"] = f"""SELECT q.*, q.lon * {num(KX)} AS px, q.lat * 111132e0 AS py FROM (
   SELECT t.feed_id, t.shape_id, t.i, s.s, t.ux, t.uy, CASE WHEN s.s = t.n THEN t.n_lon ELSE t.lon + s.s * 1e0 / t.n * (t.n_lon - t.lon) END AS lon,
@@ -734,8 +732,8 @@ Q: dict[str, str] = {
         {longest('l.agency_name')} AS agency, min(l.mode) AS mode, min(e.status) AS status, max(CASE WHEN e.side = 'a' THEN l.route_id END) AS a_raw_id,
         max(CASE WHEN e.side = 'b' THEN l.route_id END) AS b_raw_id, CAST(coalesce(sum(CASE WHEN e.side = 'a' THEN l.trip_count END), 0) AS BIGINT) AS a_trips,
         CAST(coalesce(sum(CASE WHEN e.side = 'b' THEN l.trip_count END), 0) AS BIGINT) AS b_trips
-      FROM op_auto p JOIN op_lines l ON l.feed_id IN (p.feed_a, p.feed_b) JOIN op_members m ON m.feed_id = l.feed_id AND m.raw_id = l.stop_id
-      JOIN op_pentry e ON e.feed_id = l.feed_id AND e.raw_id = l.route_id GROUP BY 1, 2, 3, 4)""",
+      FROM op_pairs p JOIN op_lines l ON l.feed_id IN (p.feed_a, p.feed_b) JOIN op_members m ON m.feed_id = l.feed_id AND m.raw_id = l.stop_id
+      JOIN op_entryroutes e ON e.feed_a = p.feed_a AND e.feed_b = p.feed_b AND e.feed_id = l.feed_id AND e.raw_id = l.route_id GROUP BY 1, 2, 3, 4)""",
     "diff_route_stops": """SELECT c.feed_a, c.feed_b, c.entry_id, c.dir, c.side, c.pos, c.stop_id, c.stop_name, c.canonical_id, d.status AS stop_status, c.sign AS headsign, c.trip_count,
       CASE WHEN EXISTS (SELECT 1 FROM op_chosen o WHERE o.feed_a = c.feed_a AND o.feed_b = c.feed_b AND o.entry_id = c.entry_id AND o.dir = c.dir AND o.side <> c.side
         AND o.canonical_id = c.canonical_id) THEN 'match' ELSE 'only-here' END AS role FROM op_chosen c
@@ -743,9 +741,9 @@ Q: dict[str, str] = {
     "line_directions": """SELECT feed_a, feed_b, entry_id, dir AS direction_id, coalesce(first(sign ORDER BY route_id DESC) FILTER (WHERE side = 'b' AND sign <> ''),
         first(sign ORDER BY route_id DESC) FILTER (WHERE side = 'a' AND sign <> '')) AS headsign, count(DISTINCT CASE WHEN side = 'a' THEN stop_id END) AS stops_a,
       count(DISTINCT CASE WHEN side = 'b' THEN stop_id END) AS stops_b FROM op_dirs WHERE dir <> -1 GROUP BY 1, 2, 3, 4""",
-    "stops_on_route": """SELECT DISTINCT d.feed_a, d.feed_b, d.canonical_id, d.status FROM op_stopdiff d JOIN op_auto p ON p.feed_a = d.feed_a AND p.feed_b = d.feed_b
+    "stops_on_route": """SELECT DISTINCT d.feed_a, d.feed_b, d.canonical_id, d.status FROM op_stopdiff d
       JOIN op_entrystops e ON e.feed_a = d.feed_a AND e.feed_b = d.feed_b AND e.entry_id = d.canonical_id
-      WHERE NOT EXISTS (SELECT 1 FROM op_served WHERE entry_id LIKE '%_tram_%' AND direction_id = 0) OR EXISTS (SELECT 1 FROM op_served s
+      WHERE NOT EXISTS (SELECT 1 FROM op_served s WHERE s.entry_id LIKE '%_tram_%' AND s.direction_id = 0 AND s.feed_a = d.feed_a AND s.feed_b = d.feed_b) OR EXISTS (SELECT 1 FROM op_served s
         WHERE s.entry_id LIKE '%_tram_%' AND s.direction_id = 0 AND s.feed_a = e.feed_a AND s.feed_b = e.feed_b AND s.side = e.side AND s.raw_id = e.raw_id)""",
     "route_pairs": "SELECT feed_a, feed_b, entry_id AS canonical_id, side, feed_id, raw_id AS route_id FROM op_entryroutes",
     "direction_buckets": "SELECT feed_a, feed_b, canonical_id, array_to_string(dirs_a, ',') AS dirs_a, array_to_string(dirs_b, ',') AS dirs_b, split, two_sided FROM op_buckets",

@@ -380,20 +380,20 @@ def q_gtfs_diff_export(ws):
 
 @query
 def q_stops_on_route(ws):
-    busiest = I.served_stops(ws.feeds, ws.registry, ws.pair_routes).where(
+    busiest = I.served_stops(ws.feeds, ws.registry, ws.route_diff).where(
         "entry_id LIKE '%_tram_%' AND direction_id = 0").select(*D.PAIR, "side", "raw_id").distinct()
-    return D.stops_on_routes(ws.registry, ws.pair_stops, busiest).select(*D.PAIR, "canonical_id", "status")
+    return D.stops_on_routes(ws.registry, ws.stop_diff, busiest).select(*D.PAIR, "canonical_id", "status")
 
 
 @query
 def q_line_list(ws):
     changed = G.rerouted_lines(ws.runs).where("geometry_changed")
-    return D.line_list(ws.pair_routes, changed).orderBy(*D.PAIR, "sort_key", "long_name")
+    return D.line_list(ws.route_diff, changed).orderBy(*D.PAIR, "sort_key", "long_name")
 
 
 @query
 def q_line_search(ws):
-    none = ws.pair_routes.select(*D.PAIR, "canonical_id").limit(0)
+    none = ws.route_diff.select(*D.PAIR, "canonical_id").limit(0)
     return D.search_lines(D.line_list(ws.route_diff, none), " Linie 1", "unchanged")
 
 
@@ -610,17 +610,17 @@ def q_district_population(ws):
 
 @query
 def q_diff_lines_for_stop(ws):
-    return I.diff_lines_for_stop(ws.feeds, ws.registry, ws.pair_routes, ws.pair)
+    return I.diff_lines_for_stop(ws.feeds, ws.registry, ws.route_diff, ws.pairs)
 
 
 @query
 def q_diff_route_stops(ws):
-    return I.diff_route_stops(ws.feeds, ws.registry, ws.pair_routes, ws.pair_stops)
+    return I.diff_route_stops(ws.feeds, ws.registry, ws.route_diff, ws.stop_diff)
 
 
 @query
 def q_line_directions(ws):
-    return I.line_directions(ws.feeds, ws.registry, ws.pair_routes)
+    return I.line_directions(ws.feeds, ws.registry, ws.route_diff)
 
 
 # ---- geometry ----
@@ -650,7 +650,7 @@ def q_shape_tangents(ws):
 @query
 def q_geom_samples(ws):
     lines = S.shape_lines(ws.feeds)
-    units = G.scoped_shapes(ws.feeds, G.route_pairs(ws.registry, ws.pair_routes))
+    units = G.scoped_shapes(ws.feeds, G.route_pairs(ws.registry, ws.route_diff))
     split = G.direction_buckets(units).where("two_sided").select(*D.PAIR, "canonical_id", "split")
     placed = units.join(split, [*D.PAIR, "canonical_id"]).withColumn(
         "bucket", F.when(F.col("split"), F.col("dir")).otherwise(G.UNION))
@@ -693,7 +693,7 @@ def q_geom_diff(ws):
 
 @query
 def q_geom_diff_feedwide(ws):
-    return rounded(G.feedwide_diff(ws.feeds, ws.pair).select(
+    return rounded(G.feedwide_diff(ws.feeds, ws.pairs).select(
         *D.PAIR, "side", "feed_id", "shape_id", "run", "status", "length_m"), length_m=2)
 
 
@@ -735,12 +735,12 @@ def q_route_km_delta(ws):
 
 @query
 def q_stops_near_route(ws):
-    members = I.served_stops(ws.feeds, ws.registry, ws.pair_routes)
+    members = I.served_stops(ws.feeds, ws.registry, ws.route_diff)
     ids = ws.registry.stops.select("feed_id", "raw_id", F.col("canonical_id").alias("point_id"))
     feed = F.when(F.col("side") == "a", F.col("feed_a")).otherwise(F.col("feed_b"))
     wanted = members.withColumn("feed_id", feed).join(ids, ["feed_id", "raw_id"]).select(
         *D.PAIR, F.col("entry_id").alias("canonical_id"), "point_id").distinct()
-    at = D.stop_diff_points(ws.pair_stops).select(*D.PAIR, F.col("canonical_id").alias("point_id"), "lon", "lat")
+    at = D.stop_diff_points(ws.stop_diff).select(*D.PAIR, F.col("canonical_id").alias("point_id"), "lon", "lat")
     points = wanted.join(at, [*D.PAIR, "point_id"])
     near = G.stops_near_lines(points, ws.runs, 60.0)
     return near.select(*D.PAIR, "canonical_id", "point_id")

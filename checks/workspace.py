@@ -61,21 +61,13 @@ class Workspace:
     def route_diff(self) -> DataFrame:
         return cut_lineage(D.route_diff(self.registry, self.pairs))
 
-    @cached_property
-    def pair_routes(self) -> DataFrame:
-        return self.route_diff.join(self.pair, D.PAIR, "left_semi")
-
-    @cached_property
-    def pair_stops(self) -> DataFrame:
-        return self.stop_diff.join(self.pair, D.PAIR, "left_semi")
-
     @cached_property
     def runs(self) -> DataFrame:
-        return cut_lineage(G.geometry_diff(self.feeds, self.registry, self.pair_routes))
+        return cut_lineage(G.geometry_diff(self.feeds, self.registry, self.route_diff))
 
     @cached_property
     def features(self) -> DataFrame:
-        return cut_lineage(G.run_features(self.feeds, self.runs, self.pair_routes))
+        return cut_lineage(G.run_features(self.feeds, self.runs, self.route_diff))
 
     @cached_property
     def freq_diff(self) -> DataFrame:

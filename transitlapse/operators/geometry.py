@@ -650,10 +650,10 @@ def stops_near_lines(points: DataFrame, runs: DataFrame, tol_m: float) -> DataFr
     segs = pts.select(*PAIR, "canonical_id", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"),
                       F.lead("p.lon").over(order).alias("n_x"), F.lead("p.lat").over(order).alias("n_y")
                       ).where("n_x IS NOT NULL").distinct()
-    # Degrees that surely hold the tolerance at any latitude met here (85 degrees at most).
+    # Degrees that surely hold the tolerance at the latitude of the segment's end nearer to a pole.
     deg = tol_m / 111_320.0
-    wide = deg / F.greatest(F.cos(F.radians(F.least(F.lit(85.0), F.greatest(F.abs("y"), F.abs("n_y")) + deg))),
-                            F.lit(0.08))
+    pole = F.least(F.lit(90.0), F.greatest(F.abs("y"), F.abs("n_y")) + deg)
+    wide = F.least(F.lit(360.0), deg / F.greatest(F.cos(F.radians(pole)), F.lit(1e-6)))
     cell = max(deg * 2, 0.0005)
     cells = spread(segs, cell, deg, wide).select(
         *[F.col(k).alias(f"k_{k}") for k in [*PAIR, "canonical_id", "cx", "cy"]],
