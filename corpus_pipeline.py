@@ -23,7 +23,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    weights = quality_classifier.train(quality_classifier.learnable(docs, table(spark, sf_dir, "labels")))
+    weights = quality_classifier.train(docs, quality_classifier.learnable(table(spark, sf_dir, "labels")))
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
     scored = quality_classifier.score(whole, weights, ["row"])
     return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")

@@ -35,14 +35,14 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_scores_of_odd_rows(spark):
-    weights = quality_classifier.train(cases.docs(spark, ["good words here"] * 3 + ["### !!! ###"] * 3).selectExpr(
-        "doc_id", "text", "cast(doc_id < 3 as int) quality"))
+    few = cases.docs(spark, ["good words here"] * 3 + ["### !!! ###"] * 3)
+    weights = quality_classifier.train(few.unionByName(few), few.selectExpr("doc_id", "cast(doc_id < 3 as int) quality"))
     rows = quality_classifier.score(cases.docs(spark, cases.ODD, schema=cases.CLASH), weights, ["doc_id", "score"]).collect()
     assert len(rows) == len(cases.ODD) and all(0 <= r["score"] <= 1 for r in rows)
     by = {r["doc_id"]: r["score"] for r in rows}
     assert by[0] == by[1] == by[2] and by[9] == by[10]
-    none = cases.docs(spark, []).selectExpr("doc_id", "text", "1 quality")
-    untrained = quality_classifier.train(none)
+    none = few.limit(0)
+    untrained = quality_classifier.train(few, none.selectExpr("doc_id", "1 quality"))
     assert {r["score"] for r in quality_classifier.score(cases.docs(spark, ["a", None]), untrained, ["doc_id"]).collect()} == {0.5}
     assert quality_classifier.score(cases.docs(spark, []), weights, ["doc_id"]).count() == 0
 

@@ -102,15 +102,18 @@ def _vector_column(column: pa.Array) -> list[pa.Array]:
     return [pa.array(at, pa.binary()), pa.array(value, pa.binary())]
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 6, seed: int = 7) -> np.ndarray:
-    """Weights by bucket, the bias last, from ``labelled`` (doc_id, text, quality 0 or 1).
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 6, seed: int = 7) -> np.ndarray:
+    """Weights by bucket, the bias last, from ``docs`` (doc_id, text) with ``labels`` (doc_id, quality 0 or 1).
 
-    ``sample_rows`` bounds what the driver receives: the rows with the smallest hash of their id.
+    ``sample_rows`` bounds what the driver receives: the labelled ids with the smallest hash. They are picked before
+    their texts are read, so no text is moved.
     """
-    order = F.xxhash64("doc_id", F.lit(seed))
-    some = labelled.where(F.col("quality").isNotNull()).orderBy(order, "doc_id").limit(sample_rows)
-    rows = scan.add_columns(some, ["quality"], [T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())],
-                            _vector_column).collect()
+    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    some = docs.select("doc_id").join(known, "doc_id").distinct().orderBy(
+        F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # sample_rows ids and labels
+    rows = scan.add_columns(chosen, ["doc_id", "quality"], [T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())],
+                            _vector_column).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     model, bias = FollowTheLeader(), 1 << BITS
     data = [(np.append(np.frombuffer(r["at"], "<i4"), bias), np.append(np.frombuffer(r["value"], "<f4"), 1.0),
              float(r["quality"] > 0)) for r in rows]
@@ -136,7 +139,6 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     return scan.add_columns(docs, keep, [T.StructField("score", T.DoubleType())], run)
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents whose crc32 of the id is not divisible by five: the ones a model may learn from."""
-    some = labels.select("doc_id", "quality").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return docs.select("doc_id", "text").join(some, "doc_id")
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels whose crc32 of the id is not divisible by five: the ones a model may learn from."""
+    return labels.select("doc_id", "quality").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)

@@ -72,7 +72,7 @@ def op5_secret_scan(spark, sf_dir):
 @query
 def op3_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    weights = quality_classifier.train(quality_classifier.learnable(docs, table(spark, sf_dir, "labels")))
+    weights = quality_classifier.train(docs, quality_classifier.learnable(table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return quality_classifier.score(docs, weights, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score",
