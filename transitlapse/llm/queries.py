@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitlapse.llm import decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_files
+from transitlapse.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from transitlapse.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
