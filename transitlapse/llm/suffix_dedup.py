@@ -1,22 +1,23 @@
-"""Removal of repeated byte strings by suffix sorting with a difference cover.
+"""Removal of repeated byte strings by suffix sorting, bucket by bucket, with a difference cover.
 
 Looked for are all positions at which a string of ``length`` bytes starts that starts somewhere else too. Suffixes
-are sorted in buckets, and only to that depth:
-
-1. Filter. Each window of ``length`` bytes has a minimiser, its smallest hash of ``GRAM`` bytes. Equal windows have
-   equal minimisers, so only windows whose minimiser occurs at two places go on; no repeated window is lost.
-2. Cover sample. Positions whose offset modulo ``PERIOD`` lies in a difference cover are ranked by the string of
-   ``length - PERIOD + 1`` bytes they start. Any two positions have a distance below PERIOD after which both are in
-   the sample, so two windows can only be equal if sample positions inside them, equally far in, have one rank. Only
-   equality of ranks matters here, so a rank is the string's hash.
-3. Buckets. Suffixes are put in the bucket of their sample's rank: there the long tie is resolved already, and what
-   is left to sort is the fewer than PERIOD bytes on either side. Equal surroundings are merged by aggregation first;
-   then a task sorts one group of whole buckets at a time. A bucket of more than ``MOST_SORTED`` surroundings is not
-   sorted in one task: its windows are hashed and counted by a shuffle instead.
-
-Windows are told apart by a rank and a second hash, 128 bits together. Equal texts are one text from the start; a
-text with copies is repeated as a whole. Matches never cross texts. Null texts are empty, texts shorter than
-``length`` lose nothing, repeated rows are copies, an empty table gives an empty result, other columns are not kept.
+are sorted to that depth only, and only those that can be tied so deep:
+
+1. Buckets. Each window of ``length`` bytes has a minimiser, its smallest hash of so many bytes. Equal windows have
+   equal minimisers at the same place, so only windows whose minimiser occurs at two places go on; no repeated window
+   is lost. This is asked first of ``COARSE`` bytes over all texts, then of ``FINE`` bytes over what is left. Windows
+   with one fine minimiser are a bucket: all share its bytes, and differ in the ``length - FINE`` bytes around it.
+2. Difference cover. In a bucket the strings at positions whose offset from the bucket's start, modulo ``PERIOD``,
+   lies in a difference cover are sorted first; their ranks settle ties of the suffixes: a suffix is ordered by its
+   first PERIOD bytes, then by the rank of the next cover position, then by its last bytes. So a sort never holds
+   more than a few bytes a suffix, and equal neighbours are repeated windows.
+3. Surroundings that are equal are merged by aggregation before. A task sorts a few whole buckets at a time. A bucket
+   of more than ``MOST_SORTED`` surroundings is not sorted in one task: its windows are hashed and counted by a
+   shuffle instead.
+
+Buckets are told apart by 128 bits. Equal texts are one text from the start; a text with copies is repeated as a
+whole. Matches never cross texts. Null texts are empty, texts shorter than ``length`` lose nothing, repeated rows are
+copies, an empty table gives an empty result, other columns are not kept.
 """
 
 from __future__ import annotations
@@ -34,16 +35,15 @@ from transitlapse.llm import scan
 from transitlapse.session import cut_lineage
 
 LENGTH = 400
-GRAM = 128
-PERIOD = 133
+COARSE = 128
+FINE = 320
+PERIOD = 13
 # A perfect difference set; every residue but 0 is the difference of exactly one pair.
-COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
+COVER = (0, 1, 3, 9)
 MOST_SORTED = 20_000
 #: What is sent to every executor at most: rows of up to about 100 bytes. Beyond, a shuffle takes its place.
 MOST_SENT = 1_000_000
 
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
-
 
 def text_key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
@@ -58,38 +58,50 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
 
 
 class _Chunk:
-    """Minimisers of all windows of a chunk's texts. Row of a byte, window starts inside one text."""
+    """Minimisers of ``gram`` bytes of all windows of a chunk, and which windows lie in one text."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int):
-        self.offsets, self.n, width = offsets, len(buf), length - GRAM + 1
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        self.offsets, self.n, self.width = offsets, len(buf), length - gram + 1
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         self.prefix = scan.Prefix(scan.BYTE_VALUES[buf])
-        n_windows = self.n - length + 1
-        if n_windows <= 0:
+        if self.n < length:
             self.least, self.whole, self.gram = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
             return
-        at = np.arange(self.n - GRAM + 1)
-        self.gram = self.prefix.window(at, at + GRAM)
-        self.least = _sliding(self.gram, width, np.minimum)
-        self.whole = self.row[:n_windows] == self.row[length - 1 :]
-
-    def anchors(self, length: int) -> np.ndarray:
-        """Positions whose hash is the minimiser of a whole window around them."""
-        if not self.whole.any():
+        at = np.arange(self.n - gram + 1)
+        self.gram = self.prefix.window(at, at + gram)
+        self.least = _sliding(self.gram, self.width, np.minimum)
+        self.whole = self.row[: self.n - length + 1] == self.row[length - 1 :]
+
+    def anchors(self, windows: np.ndarray) -> np.ndarray:
+        """Positions whose hash is the minimiser of one of ``windows`` around them."""
+        if not windows.any():
             return np.zeros(0, np.int64)
-        width = length - GRAM + 1
-        own = np.where(self.whole, self.least, np.uint64(0))
-        padded = np.concatenate([np.zeros(width - 1, np.uint64), own, np.zeros(width - 1, np.uint64)])
-        top = _sliding(padded, width, np.maximum)  # over the windows that hold the position
+        aside = np.zeros(self.width - 1, np.uint64)
+        own = np.concatenate([aside, np.where(windows, self.least, np.uint64(0)), aside])
+        top = _sliding(own, self.width, np.maximum)  # over the windows that hold the position
         return np.flatnonzero((top == self.gram) & (top > 0))
 
+    def among(self, hashes: pa.Array, good: np.ndarray) -> np.ndarray:
+        """Windows whose minimiser is among the hashes of their text, in texts that are ``good``."""
+        n, texts = len(self.least), np.arange(len(self.offsets) - 1, dtype=np.uint64)
+        if not n or not len(hashes.flatten()):
+            return np.zeros(n, bool)
+        tag = scan.mix(texts, 41)
+        text = np.repeat(texts.astype(np.int64), hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        known = np.sort(scan.mix(hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + tag[text], 42))
+        row = self.row[:n]
+        change = np.flatnonzero(np.concatenate([[True], (self.least[1:] != self.least[:-1]) | (row[1:] != row[:-1])]))
+        key = scan.mix(self.least[change] + tag[row[change]], 42)
+        near = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return np.repeat((known[near] == key) & good[row[change]], np.diff(np.append(change, n))) & self.whole
+
 
 def _anchor_column(length: int):
     def run(column: pa.Array) -> list[pa.Array]:
         keys, sizes, found = [], [], []
         for _, _, buf, offsets in scan.chunks(column, scan.CHUNK_BYTES // 2):
-            chunk = _Chunk(buf, offsets, length)
-            at = chunk.anchors(length)
+            chunk = _Chunk(buf, offsets, length, COARSE)
+            at = chunk.anchors(chunk.whole)
             raw, cut = buf.tobytes(), np.searchsorted(at, offsets)
             hashes = chunk.gram[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
             keys += [text_key(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
@@ -108,39 +120,21 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(small, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", *names)
 
 
-def _samples(given: DataFrame, length: int) -> DataFrame:
-    """Cover samples (key, at, rank) inside the windows whose minimiser is among a text's ``hashes``."""
-    core = length - PERIOD + 1
+def _fine_anchors(given: DataFrame, length: int) -> DataFrame:
+    """(key, at, rank): fine minimisers of the windows whose coarse one is among a text's ``hashes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = batch.column("key").to_pylist(), batch.column("hashes")
             for first, last, buf, offsets in scan.chunks(batch.column("text"), scan.CHUNK_BYTES // 2):
-                chunk = _Chunk(buf, offsets, length)
                 raw = buf.tobytes()
                 good = np.array([text_key(raw[a:b]) == k for a, b, k in zip(offsets[:-1], offsets[1:], keys[first:last])])
-                n = len(chunk.least)
-                if not n or not good.any():
+                windows = _Chunk(buf, offsets, length, COARSE).among(hashes.slice(first, last - first), good)
+                if not windows.any():
                     continue
-                own = hashes.slice(first, last - first)
-                flat = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                text = np.repeat(np.arange(last - first), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                tag = scan.mix(np.arange(last - first, dtype=np.uint64), 41)
-                known = np.sort(scan.mix(flat + tag[text], 42))
-                row = chunk.row[:n]
-                change = np.flatnonzero(np.concatenate([[True], (chunk.least[1:] != chunk.least[:-1]) | (row[1:] != row[:-1])]))
-                key = scan.mix(chunk.least[change] + tag[row[change]], 42)
-                near = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                hit = np.repeat((known[near] == key) & good[row[change]], np.diff(np.append(change, n)))
-                hit &= chunk.whole
-                total = np.concatenate([[0], np.cumsum(hit), np.full(PERIOD + core, hit.sum())])
-                at = np.arange(chunk.n - core + 1)
-                inside = (chunk.row[at] == chunk.row[at + core - 1]) & _IN_COVER[(at - offsets[chunk.row[at]]) % PERIOD]
-                # A window starts at most PERIOD - 1 bytes before the sample, in the same text.
-                early = np.maximum(at - PERIOD + 1, offsets[chunk.row[at]])
-                at = at[inside & (total[np.minimum(at + 1, n)] > total[np.minimum(early, n)])]
-                rank = chunk.prefix.window(at, at + core).view(np.int64)
-                cut = np.searchsorted(at, offsets)
+                fine = _Chunk(buf, offsets, length, FINE)
+                at = fine.anchors(windows)
+                rank, cut = fine.gram[at].view(np.int64), np.searchsorted(at, offsets)
                 use = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([keys[first + k] for k in use], pa.binary()),
@@ -154,8 +148,8 @@ def _samples(given: DataFrame, length: int) -> DataFrame:
 
 
 def _surroundings(given: DataFrame, length: int) -> DataFrame:
-    """(rank, around, left, right, key, at) of the samples ``at`` of each text: the bytes before and after their core."""
-    core, side = length - PERIOD + 1, PERIOD - 1
+    """(rank, check, left, right, key, at) of the fine minimisers ``at`` of each text: the bytes before and after them."""
+    side = length - FINE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,33 +163,28 @@ def _surroundings(given: DataFrame, length: int) -> DataFrame:
                 own = np.concatenate([np.array(p, np.int64) for p, g in zip(places[first:last], good) if g])
                 at = own + offsets[text]
                 a = np.maximum(at - side, offsets[text])
-                b = np.minimum(at + core + side, offsets[text + 1])
-                rank = scan.Prefix(scan.BYTE_VALUES[buf]).window(at, at + core)
-                around = scan.Prefix(scan.BYTE_VALUES_2[buf], 0xD1342543DE82EF95).window(a, b)
-                around = scan.mix(around + (at - a).astype(np.uint64) * np.uint64(1000) + (b - at).astype(np.uint64), 43)
+                b = np.minimum(at + FINE + side, offsets[text + 1])
+                rank = scan.Prefix(scan.BYTE_VALUES[buf]).window(at, at + FINE)
+                check = scan.Prefix(scan.BYTE_VALUES_2[buf], 0xD1342543DE82EF95).window(at, at + FINE)
                 for lo in range(0, len(at), 20_000):
                     part = slice(lo, lo + 20_000)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(rank[part].view(np.int64)), pa.array(around[part].view(np.int64)),
+                        pa.array(rank[part].view(np.int64)), pa.array(check[part].view(np.int64)),
                         pa.array([raw[x:y] for x, y in zip(a[part].tolist(), at[part].tolist())], pa.binary()),
-                        pa.array([raw[x:y] for x, y in zip((at[part] + core).tolist(), b[part].tolist())], pa.binary()),
+                        pa.array([raw[x:y] for x, y in zip((at[part] + FINE).tolist(), b[part].tolist())], pa.binary()),
                         pa.array([keys[first + k] for k in text[part]], pa.binary()), pa.array(own[part]),
-                    ], names=["rank", "around", "left", "right", "key", "at"])
+                    ], names=["rank", "check", "left", "right", "key", "at"])
 
     return given.select("text", "key", "at").mapInArrow(
-        run, "rank bigint, around bigint, left binary, right binary, key binary, at bigint")
+        run, "rank bigint, check bigint, left binary, right binary, key binary, at bigint")
 
 
-def _matrix(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes around the core as rows, and for each shift 0 .. PERIOD - 1 whether the row's window exists, and its hash."""
-    side = PERIOD - 1
+def _sides(left: list[bytes], right: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before and after the minimiser as rows, and for each shift 0 .. side whether the row's window exists."""
     raw = b"".join(x.rjust(side, b"\0") + y.ljust(side, b"\0") for x, y in zip(left, right))
-    rows = np.frombuffer(raw, np.uint8).reshape(len(left), 2 * side)
-    prefix = scan.Prefix(scan.BYTE_VALUES[rows.ravel()])
-    shift = np.arange(PERIOD)
-    begin = (np.arange(len(left)) * 2 * side)[:, None] + side - shift
+    shift = np.arange(side + 1)
     has = (shift <= np.array([len(x) for x in left])[:, None]) & (side - shift <= np.array([len(x) for x in right])[:, None])
-    return has, shift, prefix.window(begin, begin + side)
+    return np.frombuffer(raw, np.uint8).reshape(len(left), 2 * side), has
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -203,75 +192,104 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _sort_buckets(ranks: list[int], around: list[int], left: list[bytes], right: list[bytes], many: list[bool]) -> pa.RecordBatch:
+def _ordered(*columns: np.ndarray) -> np.ndarray:
+    """Rank of each row among the rows' bytes; equal rows have one rank."""
+    rows = np.ascontiguousarray(np.concatenate(columns, axis=1))
+    return np.unique(rows.view(f"S{rows.shape[1]}").ravel(), return_inverse=True)[1]
+
+
+def _bytes(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(">u4").view(np.uint8).reshape(-1, 4)
+
+
+def _sort_buckets(side: int, ranks: list[int], checks: list[int], left: list[bytes], right: list[bytes],
+                  many: list[bool]) -> pa.RecordBatch:
     """Shifts of each row at which another row of its bucket has the same window."""
-    has, shift, window = _matrix(left, right)
-    bucket = scan.mix(np.array(ranks, np.int64).view(np.uint64), 44)[:, None] + scan.mix(shift.astype(np.uint64), 45)
-    key = np.where(has, scan.mix(window + bucket, 46), np.arange(has.size, dtype=np.uint64).reshape(has.shape))
-    order = np.argsort(key, axis=None)
-    flat = key.ravel()[order]
-    same = np.concatenate([[False], flat[1:] == flat[:-1]])
-    same[:-1] |= same[1:]
-    twice = np.zeros(has.size, bool)
-    twice[order] = same
-    twice = (twice.reshape(has.shape) | np.array(many, bool)[:, None]) & has
+    rows, has = _sides(left, right, side)
+    bucket = _bytes(np.unique(np.array([ranks, checks], np.int64), axis=1, return_inverse=True)[1].ravel())
+    twice = np.zeros(has.shape, bool)
+    tail = side - PERIOD + 1
+    cover: dict[int, np.ndarray] = {}
+    for shift in range(side + 1):
+        at, use = side - shift, np.flatnonzero(has[:, shift])
+        if len(use) < 2:
+            continue
+        step = next(j for j in range(PERIOD) if (at + j) % PERIOD in COVER)
+        if at + step not in cover:
+            cover[at + step] = _bytes(_ordered(bucket, rows[:, at + step : at + step + tail]))
+        suffix = _ordered(rows[use, at : at + PERIOD], cover[at + step][use], rows[use, at + tail : at + side])
+        twice[use, shift] = np.bincount(suffix)[suffix] > 1
+    twice = (twice | np.array(many, bool)[:, None]) & has
     return pa.RecordBatch.from_arrays([
-        pa.array(ranks, pa.int64()), pa.array(around, pa.int64()),
+        pa.array(ranks, pa.int64()), pa.array(checks, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()),
         pa.array([_runs(r) for r in twice], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-    ], names=["rank", "around", "shifts"])
+    ], names=["rank", "check", "left", "right", "shifts"])
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch], group: int = 4_000) -> Iterator[pa.RecordBatch]:
+def _sorted_buckets(side: int, group: int = 4_000):
     """Rows come by rank: whole buckets, about ``group`` rows at a time."""
-    names = ("rank", "around", "left", "right", "many")
-    held: list[list] = [[] for _ in names]
-    for batch in batches:
-        for lo in range(0, len(batch), group):
-            part = batch.slice(lo, group)
-            for own, name in zip(held, names):
-                own += part.column(name).to_pylist()
-            if len(held[0]) >= group:
-                end = len(held[0])
-                while end and held[0][end - 1] == held[0][-1]:  # the last bucket may go on
-                    end -= 1
-                if end:
-                    yield _sort_buckets(*(own[:end] for own in held))
-                    held = [own[end:] for own in held]
-    if held[0]:
-        yield _sort_buckets(*held)
-
-
-def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, len(batch), 500):
-            part = batch.slice(lo, 500)
-            has, shift, window = _matrix(part.column("left").to_pylist(), part.column("right").to_pylist())
-            row, at = np.nonzero(has)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("rank").take(pa.array(row)), part.column("around").take(pa.array(row)),
-                 pa.array(shift[at].astype(np.int32)), pa.array(window[row, at].view(np.int64)),
-                 part.column("many").take(pa.array(row))], names=["rank", "around", "shift", "window", "many"])
+    names = ("rank", "check", "left", "right", "many")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in names]
+        for batch in batches:
+            for lo in range(0, len(batch), group):
+                part = batch.slice(lo, group)
+                for own, name in zip(held, names):
+                    own += part.column(name).to_pylist()
+                if len(held[0]) >= group:
+                    end = len(held[0])
+                    while end and held[0][end - 1] == held[0][-1]:  # the last bucket may go on
+                        end -= 1
+                    if end:
+                        yield _sort_buckets(side, *(own[:end] for own in held))
+                        held = [own[end:] for own in held]
+        if held[0]:
+            yield _sort_buckets(side, *held)
 
-_SHIFTS = "rank bigint, around bigint, shifts array<struct<a:int,b:int>>"
+    return run
 
 
-def _repeated_shifts(surroundings: DataFrame) -> DataFrame:
-    """(rank, around, shifts): how far before a sample with these surroundings repeated windows start."""
-    merged = surroundings.groupBy("rank", "around", "left", "right").agg(
-        F.min(F.xxhash64("key", "at")).alias("low"), F.max(F.xxhash64("key", "at")).alias("high"))
-    merged = cut_lineage(merged.select("rank", "around", "left", "right", (F.col("low") != F.col("high")).alias("many")))
+def _hashed_windows(side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                rows, has = _sides(part.column("left").to_pylist(), part.column("right").to_pylist(), side)
+                row, shift = np.nonzero(has)
+                begin = row * 2 * side + side - shift
+                window = scan.Prefix(scan.BYTE_VALUES[rows.ravel()]).window(begin, begin + side)
+                columns = [part.column(c).take(pa.array(row)) for c in ("rank", "check", "left", "right", "many")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(shift.astype(np.int32)), pa.array(window.view(np.int64))],
+                    names=["rank", "check", "left", "right", "many", "shift", "window"])
+
+    return run
+
+
+_BUCKET = ["rank", "check", "left", "right"]
+_SHIFTS = "rank bigint, check bigint, left binary, right binary, shifts array<struct<a:int,b:int>>"
+
+
+def _repeated_shifts(surroundings: DataFrame, side: int) -> DataFrame:
+    """(rank, check, left, right, shifts): how far before a minimiser in these surroundings repeated windows start."""
+    place = F.xxhash64("key", "at")
+    merged = surroundings.groupBy(*_BUCKET).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    merged = cut_lineage(merged.select(*_BUCKET, (F.col("low") != F.col("high")).alias("many")))
     size = merged.groupBy("rank").agg(F.count("*").alias("n"))
-    sized = merged.join(size, "rank")
-    common = sized.where((F.col("n") <= MOST_SORTED) & ((F.col("n") > 1) | F.col("many"))).drop("n")
-    out = common.repartition("rank").sortWithinPartitions("rank").mapInArrow(_sorted_buckets, _SHIFTS)
-    if size.where(F.col("n") > MOST_SORTED).limit(1).count():
-        windows = sized.where(F.col("n") > MOST_SORTED).drop("n").mapInArrow(
-            _hashed_windows, "rank bigint, around bigint, shift int, window bigint, many boolean")
-        per = windows.groupBy("rank", "shift", "window").agg(
-            F.min("around").alias("low"), F.max("around").alias("high"), F.max("many").alias("any_many"))
-        twice = windows.join(per.where("low <> high or any_many"), ["rank", "shift", "window"])
-        out = out.unionByName(twice.select("rank", "around", F.array(F.struct(
+    large = cut_lineage(size.where(F.col("n") > MOST_SORTED).select("rank"))
+    common, n_large = merged, large.count()
+    if n_large:
+        common = merged.join(large, "rank", "left_anti")
+    out = common.repartition("rank").sortWithinPartitions("rank").mapInArrow(_sorted_buckets(side), _SHIFTS)
+    if n_large:
+        windows = merged.join(large, "rank").select(*_BUCKET, "many").mapInArrow(
+            _hashed_windows(side), "rank bigint, check bigint, left binary, right binary, many boolean, shift int, window bigint")
+        around = F.xxhash64("left", "right")
+        key = ["rank", "check", "shift", "window"]
+        per = windows.groupBy(*key).agg(F.min(around).alias("low"), F.max(around).alias("high"), F.max("many").alias("any_many"))
+        twice = windows.join(per.where("low <> high or any_many"), key)
+        out = out.unionByName(twice.select(*_BUCKET, F.array(F.struct(
             F.col("shift").alias("a"), F.col("shift").alias("b"))).alias("shifts")))
     return out.where(F.size("shifts") > 0)
 
@@ -290,14 +308,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     shared = anchors.join(often.select("hash"), "hash").groupBy("key").agg(F.collect_set("hash").alias("hashes"))
     wanted = cut_lineage(shared.join(texts, "key").select("doc_id", "key", "hashes"))
 
-    samples = _samples(_wanted_texts(docs, wanted), length)
+    fine = _fine_anchors(_wanted_texts(docs, wanted), length)
     place = F.xxhash64("key", "at")
-    tied = samples.groupBy("rank").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-    at = samples.join(tied.select("rank"), "rank").groupBy("key").agg(F.collect_set("at").alias("at"))
+    tied = fine.groupBy("rank").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
+    at = fine.join(tied.select("rank"), "rank").groupBy("key").agg(F.collect_set("at").alias("at"))
     chosen = cut_lineage(at.join(wanted.select("doc_id", "key"), "key"))
     around = cut_lineage(_surroundings(_wanted_texts(docs, chosen), length))
-    shifts = _repeated_shifts(around)
-    found = around.select("rank", "around", "key", "at").distinct().join(shifts, ["rank", "around"])
+    found = around.join(_repeated_shifts(around, length - FINE), _BUCKET)
     one = found.select("key", "at", F.explode("shifts").alias("s")).select(
         "key", F.struct((F.col("at") - F.col("s.b")).alias("first"), (F.col("at") - F.col("s.a")).alias("last")).alias("range"))
     copies = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select(
