@@ -695,9 +695,8 @@ Q: dict[str, str] = {
       ], lambda x: x IS NOT NULL) AS l FROM op_change))""",
     "entity_history": f"""SELECT canonical_id, count(*) AS present, count(DISTINCT name) AS names, count(DISTINCT place) AS places, (SELECT count(*) FROM fx_feeds) AS feeds_total
       FROM (SELECT canonical_id, feed_id, first(name ORDER BY raw_id DESC) AS name, first(({half('lat', 5)}, {half('lon', 5)}) ORDER BY raw_id DESC) AS place FROM op_members GROUP BY 1, 2) GROUP BY 1""",
-    "entity_history_rows": """SELECT c.canonical_id, y.feed_id, y.year, m.raw_id IS NOT NULL AS present, m.name, m.lat, m.lon FROM (SELECT DISTINCT canonical_id FROM op_members) c
-      CROSS JOIN op_years y LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY canonical_id, feed_id ORDER BY raw_id DESC) AS rn FROM op_members) m
-      ON m.canonical_id = c.canonical_id AND m.feed_id = y.feed_id AND m.rn = 1""",
+    "entity_history_rows": """SELECT m.canonical_id, y.feed_id, y.year, true AS present, m.name, m.lat, m.lon FROM op_years y
+      JOIN (SELECT *, row_number() OVER (PARTITION BY canonical_id, feed_id ORDER BY raw_id DESC) AS rn FROM op_members) m ON m.feed_id = y.feed_id AND m.rn = 1""",
     "stop_categories": f"""SELECT feed_id, stop_id, stop_name, lat, lon, departures, {half('interval_min', 6)} AS interval_min, interval_class, mode_category, category FROM op_ranked""",
     "grade_grid": f"SELECT feed_id, row, col, grade, {half('dist_m', 3)} AS dist_m, category FROM op_grid",
     "grade_cells": f"""SELECT feed_id, row, col, grade AS class, ['A', 'B', 'C', 'D', 'E', 'F', 'G'][grade + 1] AS class_letter,

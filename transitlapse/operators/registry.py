@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -265,14 +266,20 @@ def stale_feeds(built: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def save_registry(registry: Registry, path: str) -> None:
+    """Write a whole new snapshot, then one row that makes it the current one: readers never see half of it."""
+    snapshot = uuid.uuid4().hex
     for name in ("stops", "routes", "canonical_stops", "canonical_routes"):
-        getattr(registry, name).withColumn("registry_version", F.lit(REGISTRY_VERSION)).write.mode(
-            "overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        getattr(registry, name).withColumn("registry_version", F.lit(REGISTRY_VERSION)).write.option(
+            "compression", "zstd").parquet(f"{path}/{snapshot}/{name}")
+    now = registry.stops.sparkSession.range(1).select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("saved_at"))
+    now.write.mode("append").parquet(f"{path}/_current")
 
 
 def load_registry(spark, path: str) -> Registry | None:
     """The saved registry, or none when it was written by another version."""
-    parts = {n: spark.read.parquet(f"{path}/{n}") for n in ("stops", "routes", "canonical_stops", "canonical_routes")}
+    current = spark.read.schema("snapshot string, saved_at timestamp").parquet(f"{path}/_current")
+    at = f"{path}/{current.orderBy(F.desc('saved_at')).first()['snapshot']}"
+    parts = {n: spark.read.parquet(f"{at}/{n}") for n in ("stops", "routes", "canonical_stops", "canonical_routes")}
     other = parts["stops"].where(F.col("registry_version") != REGISTRY_VERSION)
     if not other.isEmpty():
         return None

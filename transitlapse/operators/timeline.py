@@ -228,16 +228,19 @@ def entity_history(feeds: Feeds, members: DataFrame) -> DataFrame:
         F.count_distinct(place).alias("places")).withColumn("feeds_total", total)
 
 
-def entity_rows(feeds: Feeds, members: DataFrame) -> DataFrame:
-    """The history table behind ``entity_history``: feed by feed, present or not.
+def entity_rows(feeds: Feeds, members: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """The history behind ``entity_history``, feed by feed.
 
-    Built from each entity's own feeds: absent feeds come from the feed list held as one array.
+    All entities: a row for each feed they are present in. ``pinned`` (canonical_id) entities: a row for each feed,
+    present or not.
     """
     one = members.groupBy("canonical_id", "feed_id").agg(
         F.max_by(F.struct("raw_id", "name", "lat", "lon"), "raw_id").alias("m"))
-    years = feed_years(feeds).agg(F.array_sort(F.collect_list(F.struct("rep_ms", "feed_id", "year"))).alias("all_feeds"))
-    ids = one.select("canonical_id").distinct().withColumn("all_feeds", years.scalar())
-    rows = ids.select("canonical_id", F.explode("all_feeds").alias("f")).select(
-        "canonical_id", F.col("f.feed_id").alias("feed_id"), F.col("f.year").alias("year"))
-    return rows.join(one, ["canonical_id", "feed_id"], "left").select(
-        "canonical_id", "feed_id", "year", F.col("m").isNotNull().alias("present"), "m.name", "m.lat", "m.lon")
+    years = feed_years(feeds).select("feed_id", "year")
+    if pinned is None:
+        rows = one.join(years, "feed_id")
+    else:
+        listed = years.agg(F.collect_list(F.struct("feed_id", "year")).alias("f"))  # feeds, one short row each
+        ids = pinned.select("canonical_id").distinct().withColumn("f", F.explode(listed.scalar()))
+        rows = ids.select("canonical_id", "f.feed_id", "f.year").join(one, ["canonical_id", "feed_id"], "left")
+    return rows.select("canonical_id", "feed_id", "year", F.col("m").isNotNull().alias("present"), "m.name", "m.lat", "m.lon")
