@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,8 @@ PERIOD = 13
 # A perfect difference set; every residue but 0 is the difference of exactly one pair.
 COVER = (0, 1, 3, 9)
 MOST_SORTED = 20_000
-#: What is sent to every executor at most: rows of up to about 100 bytes. Beyond, a shuffle takes its place.
-MOST_SENT = 1_000_000
+#: How many numbers of 8 bytes are sent to every executor at most. Beyond, a shuffle takes the place of sending.
+MOST_SENT = 8_000_000
 
 
 def text_key(raw: bytes) -> bytes:
@@ -112,12 +112,16 @@ def _anchor_column(length: int):
     return run
 
 
-def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` by id with what ``wanted`` (doc_id, key, ...) has for them, without moving the texts if it is small."""
-    names = [c for c in wanted.columns if c != "doc_id"]
-    small = wanted.select(F.col("doc_id").alias("id"), *names)
-    small = F.broadcast(small) if wanted.count() <= MOST_SENT else small
-    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", *names)
+def _sent(rows: DataFrame, numbers: Column) -> DataFrame:
+    """``rows`` marked to be sent if all their ``numbers``, and a few for each row, stay below the bound."""
+    total = rows.agg(F.sum(numbers + 8)).first()[0] or 0
+    return F.broadcast(rows) if total <= MOST_SENT else rows
+
+
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, numbers: str) -> DataFrame:
+    """Rows of ``docs`` by id with what ``wanted`` (doc_id, key, numbers) has for them, without moving texts if it is small."""
+    small = _sent(wanted.select(F.col("doc_id").alias("id"), "key", numbers), F.size(numbers))
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "key", numbers)
 
 
 def _fine_anchors(given: DataFrame, length: int) -> DataFrame:
@@ -294,55 +298,68 @@ def _repeated_shifts(surroundings: DataFrame, side: int) -> DataFrame:
     return out.where(F.size("shifts") > 0)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key, n_bytes) of ``docs``, and (key, ranges): first and last start of repeated windows."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_bytes) of ``docs``, and (key, spans): the bytes of each text that repeated windows cover."""
+    scan.ship(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     fields = [T.StructField("key", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
               T.StructField("hashes", T.ArrayType(T.LongType()))]
     made = cut_lineage(scan.add_columns(docs, ["doc_id"], fields, _anchor_column(length)))
-    texts = made.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"))
+    texts = cut_lineage(made.groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"), F.first("hashes").alias("hashes")))
 
-    anchors = made.select("key", F.posexplode("hashes").alias("i", "hash"))
+    anchors = texts.select("key", F.posexplode("hashes").alias("i", "hash"))
     place = F.xxhash64("key", "i")
     often = anchors.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
     shared = anchors.join(often.select("hash"), "hash").groupBy("key").agg(F.collect_set("hash").alias("hashes"))
-    wanted = cut_lineage(shared.join(texts, "key").select("doc_id", "key", "hashes"))
+    wanted = cut_lineage(shared.join(texts.select("doc_id", "key"), "key"))
 
-    fine = _fine_anchors(_wanted_texts(docs, wanted), length)
+    fine = _fine_anchors(_wanted_texts(docs, wanted, "hashes"), length)
     place = F.xxhash64("key", "at")
     tied = fine.groupBy("rank").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
     at = fine.join(tied.select("rank"), "rank").groupBy("key").agg(F.collect_set("at").alias("at"))
     chosen = cut_lineage(at.join(wanted.select("doc_id", "key"), "key"))
-    around = cut_lineage(_surroundings(_wanted_texts(docs, chosen), length))
+    around = cut_lineage(_surroundings(_wanted_texts(docs, chosen, "at"), length))
     found = around.join(_repeated_shifts(around, length - FINE), _BUCKET)
     one = found.select("key", "at", F.explode("shifts").alias("s")).select(
         "key", F.struct((F.col("at") - F.col("s.b")).alias("first"), (F.col("at") - F.col("s.a")).alias("last")).alias("range"))
     copies = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select(
         "key", F.struct(F.lit(0).cast("bigint").alias("first"), (F.col("n_bytes") - length).alias("last")).alias("range"))
     ranges = one.unionByName(copies).groupBy("key").agg(F.collect_set("range").alias("ranges"))
-    return made.select("doc_id", "key", "n_bytes"), cut_lineage(ranges)
+    spans = ranges.mapInArrow(_merged(length), "key binary, spans array<struct<start:bigint,end:bigint>>")
+    return made.select("doc_id", "key", "n_bytes"), cut_lineage(spans)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _merged(ranges: list[dict], length: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((r["first"], r["last"] + length) for r in ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _merged(length: int):
+    """The bytes that the windows of each text cover, as few spans."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for ranges in batch.column("ranges").to_pylist():
+                out: list[dict] = []
+                for a, b in sorted((r["first"], r["last"] + length) for r in ranges):
+                    if out and a <= out[-1]["end"]:
+                        out[-1]["end"] = max(out[-1]["end"], b)
+                    else:
+                        out.append({"start": a, "end": b})
+                spans.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, _SPANS)], names=["key", "spans"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes, end exclusive) and kept (the bytes left) of every row."""
-    rows, ranges = repeated_ranges(docs, length)
-    by_id = rows.select("doc_id", "key").distinct().join(ranges, "key").groupBy("doc_id").agg(
-        F.collect_list(F.struct("key", "ranges")).alias("found"))
+    rows, spans = repeated_spans(docs, length)
+    by_id = rows.select("doc_id", "key").distinct().join(spans, "key").groupBy("doc_id").agg(
+        F.collect_list(F.struct("key", "spans")).alias("found"))
     by_id = cut_lineage(by_id.withColumnRenamed("doc_id", "id"))
-    small = F.broadcast(by_id) if by_id.count() <= MOST_SENT else by_id
+    small = _sent(by_id, F.aggregate("found", F.lit(0), lambda total, f: total + 2 * F.size(f["spans"]) + 4))
     plain = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     joined = plain.join(small, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "found")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,13 +368,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for i, own in enumerate(found):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 key = text_key(raw) if own else None
-                cut = next((_merged(f["ranges"], length) for f in own or () if f["key"] == key), [])
-                edges = [0, *(x for s in cut for x in s), len(raw)]
+                cut = next((f["spans"] for f in own or () if f["key"] == key), [])
+                edges = [0, *(x for s in cut for x in (s["start"], s["end"])), len(raw)]
                 sizes.append(len(raw))
-                spans.append([{"start": a, "end": b} for a, b in cut])
+                spans.append(cut)
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if cut else raw)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
