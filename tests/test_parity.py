@@ -2,6 +2,7 @@
 
 import decimal
 import os
+import re
 
 import duckdb
 import pytest
@@ -38,6 +39,14 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(tuple(plain(v) for v in r)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+#: Queries without a statement that have rows on any given data; training-data operators have tests of their own.
+FILLED = {"line_list", "geom_diff", "geom_runs", "geom_features", "geom_lengths"}
+PLAIN = sorted(n for n in set(entry.queries()) - set(entry.oracle_sql()) if n != "pipeline" and not re.match(r"op\d+_", n))
+
+
+@pytest.mark.parametrize("name", PLAIN)
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).limit(1).count() >= 0
+    df = entry.queries()[name](spark, SF)
+    rows = df.collect()
+    assert len(set(df.columns)) == len(df.columns) > 0
+    assert rows or name not in FILLED
