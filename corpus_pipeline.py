@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import decontaminate, near_dedup, packing, quality_classifier, secrets
+from transitlapse.llm import decontaminate, near_dedup, packing, quality_classifier, scan, secrets
 from transitlapse.llm.queries import table, tokenizer_file
 from transitlapse.session import shared_folder
 
@@ -24,9 +24,10 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     weights = quality_classifier.train(docs, quality_classifier.learnable(table(spark, sf_dir, "labels")))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    scored = quality_classifier.score(whole, weights, ["row"])
-    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
+    plain, names, text = scan.numbered_columns(docs)
+    scored = quality_classifier.score(plain, weights, names, text)
+    good = scored.where(F.col("score") >= quality_classifier.THRESHOLD)
+    return good.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,9 @@ def test_against_search(spark, fixture, monkeypatch, slice_windows):
         assert len(inside) == r["n_hit"]
 
 
-def test_removal(spark):
+@pytest.mark.parametrize("slice_windows", [250_000, 1])
+def test_removal(spark, monkeypatch, slice_windows):
+    monkeypatch.setattr(decontaminate, "SLICE_WINDOWS", slice_windows)
     passage = "one two three four five six seven eight nine ten eleven"
     texts = [None, "", "clean text stays as it is.", "Clean head " * 12 + passage.upper() + ", clean tail.", passage, passage + " x"]
     bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")

@@ -60,6 +60,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                         zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.string()))], names=["n", "key", "words", "item"])
 
+    scan.ship(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(
         run, "n int, key bigint, words binary, item string")
     return rows.groupBy("n", "key", "words").agg(F.collect_set("item").alias("items"))
@@ -128,8 +129,12 @@ def _merge_spans(a: list, b: list) -> list[dict]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
-    """``keep`` columns, n_words, n_hit (words inside any occurring window), items, spans (bytes, end exclusive)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW,
+                       text: str = "text", cut: bool = False) -> DataFrame:
+    """``keep`` columns, n_words, n_hit (words inside any occurring window), items, spans (bytes, end exclusive).
+
+    With ``cut`` also ``rest``: what is left of the texts that have spans.
+    """
     spark = docs.sparkSession
     table = cut_lineage(benchmark_windows(benchmark, window))
     slices = max(1, -(-table.count() // SLICE_WINDOWS))
@@ -138,33 +143,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
         rows = table.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == s).collect()  # SLICE_WINDOWS, about
         sent = spark.sparkContext.broadcast(_Table(rows))
         if out is None:
-            out = scan.add_columns(docs, keep, _FIELDS, lambda column, sent=sent: _scan(column, sent.value))
-            if slices > 1:  # later slices look at the same texts
-                out = scan.add_columns(docs, [*keep, "text"], _FIELDS, lambda column, sent=sent: _scan(column, sent.value))
+            # Later slices look at the same texts.
+            held = keep if slices == 1 else [*keep, text]
+            last = cut and slices == 1
+            fields = [*_FIELDS, T.StructField("rest", T.StringType())] if last else _FIELDS
+
+            def look(column: pa.Array, sent=sent, last=last) -> list[pa.Array]:
+                found = _scan(column, sent.value)
+                return [*found, _rests(column, found[-1].to_pylist())] if last else found
+
+            out = scan.add_columns(docs, held, fields, look, text)
         else:
-            out = _add_slice(out, sent)
-    if slices > 1:
-        out = out.select(*[c for c in out.columns if c != "text" or "text" in keep])
-    return out
+            out = _add_slice(out, sent, text, cut and s == slices - 1)
+    return out.select(*[c for c in out.columns if c != text or text in keep])
 
 
-def _add_slice(before: DataFrame, sent) -> DataFrame:
+def _add_slice(before: DataFrame, sent, text: str, cut: bool) -> DataFrame:
     """The findings of one more slice joined to those so far, row by row."""
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index
             columns = {c: batch.column(c) for c in batch.schema.names}
-            _, _, items, spans = _scan(columns["text"], sent.value)
+            _, _, items, spans = _scan(columns[text], sent.value)
             merged = [_merge_spans(a or [], b) for a, b in zip(columns["spans"].to_pylist(), spans.to_pylist())]
             both = [sorted({*(a or []), *b}) for a, b in zip(columns["items"].to_pylist(), items.to_pylist())]
-            texts = columns["text"].to_pylist()
+            texts = columns[text].to_pylist()
             hit = [_count_words(t, m) for t, m in zip(texts, merged)]
             columns |= {"spans": pa.array(merged, batch.schema.field(at("spans")).type),
                         "items": pa.array(both, batch.schema.field(at("items")).type), "n_hit": pa.array(hit, pa.int64())}
+            if cut:
+                columns["rest"] = _rests(columns[text], merged)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return before.mapInArrow(run, before.schema)
+    return before.mapInArrow(run, T.StructType([*before.schema.fields, *[T.StructField("rest", T.StringType())] * cut]))
 
 
 def _count_words(text: str | None, spans: list[dict]) -> int:
@@ -176,25 +188,22 @@ def _count_words(text: str | None, spans: list[dict]) -> int:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5) -> DataFrame:
     """``docs`` without hit spans; documents of which at least ``drop_share`` of the words are hit go."""
     columns = docs.columns
-    whole = docs.select(F.struct(*columns).alias("row"), "text")  # so that no column clashes with the findings
-    found = find_contamination(whole, benchmark, ["row"])
+    plain, names, text = scan.numbered_columns(docs)
+    found = find_contamination(plain, benchmark, names, text=text, cut=True)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-
-    def cut(batches):
-        for batch in batches:
-            own = dict(zip(columns, batch.column("row").flatten()))
-            spans = batch.column("spans").to_pylist()
-            if hit := [i for i, s in enumerate(spans) if s]:
-                texts = own["text"].to_pylist()
-                for i in hit:
-                    raw, edges = texts[i].encode(), [0, *(x for s in spans[i] for x in (s["start"], s["end"])), None]
-                    texts[i] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
-                own["text"] = pa.array(texts, own["text"].type)
-                if "n_chars" in own:
-                    sizes = own["n_chars"].to_pylist()
-                    for i in hit:
-                        sizes[i] = len(texts[i])
-                    own["n_chars"] = pa.array(sizes, own["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(own.values()), names=columns)
-
-    return kept.mapInArrow(cut, docs.schema)
+    own = {c: F.col(n) for c, n in zip(columns, names)}
+    hit = F.size("spans") > 0
+    own["text"] = F.when(hit, F.col("rest")).otherwise(own["text"])
+    if "n_chars" in own:
+        own["n_chars"] = F.when(hit, F.char_length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return kept.select(*(own[c].alias(c) for c in columns))
+
+
+def _rests(column: pa.Array, spans: list) -> pa.Array:
+    """What is left of each text that has spans."""
+    out: list[str | None] = [None] * len(spans)
+    for i, cut in enumerate(spans):
+        if cut:
+            raw, edges = column[i].as_py().encode(), [0, *(x for s in cut for x in (s["start"], s["end"])), None]
+            out[i] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
+    return pa.array(out, pa.string())

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from transitlapse.llm import scan
+
 # Kinds of elements.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style title textarea xmp iframe noembed noframes".split())
@@ -312,6 +314,7 @@ def visible_text(page: str | None) -> tuple[str, str]:
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, title and text of each page (column ``html``)."""
+    scan.ship(pages.sparkSession)
     fields = [T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]
     kept = [c for c in dict.fromkeys(keep) if c not in ("title", "text")]
     given = pages.select(*kept, *(["html"] if "html" not in kept else []))

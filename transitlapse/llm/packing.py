@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from transitlapse.llm import tokens
+from transitlapse.llm import scan, tokens
 
 TIERS = (1024, 512, 256, 128)
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
 STEP_IDS = 64 * 1024
 
 Piece = tuple[int, int, int]  # document's number in the block, start, length
@@ -96,6 +96,8 @@ def pack(docs: DataFrame, tokenizer_file: str, tiers: tuple[int, ...] = TIERS) -
     ``context`` is the length of its sequence, ``ids`` the piece's ids as little-endian unsigned 32-bit numbers.
     """
 
+    scan.ship(docs.sparkSession)
+
     def pack_block(first: int, group: int, doc_ids: list, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sequences = pack_lengths([len(x) for x in ids], tiers)
         sizes = [sum(n for _, _, n in s) for s in sequences]

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from transitlapse.llm import scan
 
 BITS = 18
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 THRESHOLD = 0.3
 
 _BYTES = np.arange(256)
@@ -115,16 +115,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ep
     rows = scan.add_columns(chosen, ["doc_id", "quality"], [T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())],
                             _vector_column).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     model, bias = FollowTheLeader(), 1 << BITS
-    data = [(np.append(np.frombuffer(r["at"], "<i4"), bias), np.append(np.frombuffer(r["value"], "<f4"), 1.0),
-             float(r["quality"] > 0)) for r in rows]
+    data = [(r["at"], r["value"], float(r["quality"] > 0)) for r in rows]  # packed, so that the sample stays small here
+    del rows
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
-            model.learn(*data[i])
+            at, value, label = data[i]
+            model.learn(np.append(np.frombuffer(at, "<i4"), bias), np.append(np.frombuffer(value, "<f4"), 1.0), label)
     return model.weight(np.arange(bias + 1)).astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``score``: the probability of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # (2^BITS + 1) floats
 
@@ -136,7 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
             out.append(1 / (1 + np.exp(-np.clip(dot, -30, 30))))
         return [pa.array(np.concatenate(out) if out else np.zeros(0))]
 
-    return scan.add_columns(docs, keep, [T.StructField("score", T.DoubleType())], run)
+    return scan.add_columns(docs, keep, [T.StructField("score", T.DoubleType())], run, text)
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -6,17 +6,37 @@ as empty texts throughout.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application: they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the n + 1 offsets of its texts."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
@@ -37,6 +57,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, last, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -98,19 +119,26 @@ def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np
 
 
 def add_columns(docs: DataFrame, keep: list[str], fields: list[T.StructField],
-                compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+                compute: Callable[[pa.Array], list[pa.Array]], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` and new ones that ``compute`` makes of the column ``text``; one row each, in place.
 
     A kept column named like a new one is replaced by it.
     """
+    ship(docs.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in dict.fromkeys(keep) if c not in new]
-    given = docs.select(*dict.fromkeys([*kept, "text"]))
+    given = docs.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([given.schema[c] for c in kept] + fields)
 
     def run(batches):
         for batch in batches:
-            made = compute(batch.column("text"))
+            made = compute(batch.column(text))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=[*kept, *(f.name for f in fields)])
 
     return given.mapInArrow(run, schema)
+
+
+def numbered_columns(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with columns renamed to ``_0``, ``_1``, ..., so that nothing clashes; their names, that of the text."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]

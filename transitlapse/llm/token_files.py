@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from transitlapse.llm import tokens
+from transitlapse.llm import scan, tokens
 
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
 #: Block starts are sent to every executor up to this many blocks (24 bytes each), joined by shuffle beyond.
 MOST_SENT_BLOCKS = 100_000
 SCHEMA = ("file int, block int, doc_ids array<bigint>, counts array<int>, n_ids bigint, ids_by_rank binary, "
@@ -96,12 +96,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str) -> None:
         if found:
             yield row()
 
+    scan.ship(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id")
     ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) from the files."""
+    scan.ship(spark)
     blocks = spark.read.schema(SCHEMA).parquet(path)
     sizes = blocks.select("file", "block", "n_ids")
     per_file = sizes.groupBy("file").agg(F.sum("n_ids").alias("n"), F.count("*").alias("blocks"))

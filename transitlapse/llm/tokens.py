@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow as pa
 from transitlapse.llm import scan
 
 END_ID = 0
-_MOST_KNOWN = 3_000_000  # pieces a worker remembers, about 30 bytes each; it starts anew beyond
+_MOST_KNOWN = 900_000  # pieces a worker remembers, about 40 bytes each; it starts anew beyond
 _JOINED = 1_000
 
 # The white space of Unicode as UTF-8, of one byte and of two or three.
@@ -145,10 +146,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_column(column: pa.Array, path: str) -> list[np.ndarray]:
-    """The ids of every text with the end id after them; null counts as empty."""
-    own, out = encoder(path), []
-    for _, _, buf, offsets in scan.chunks(column, 2 * scan.CHUNK_BYTES):
+def encode_column(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """The ids of every text with the end id after them, one text after the other; null counts as empty."""
+    own = encoder(path)
+    for _, _, buf, offsets in scan.chunks(column):
         ids, place = own.encode(buf, offsets)
-        out += [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(place[:-1], place[1:])]
-    return out
+        for a, b in zip(place[:-1], place[1:]):
+            yield np.append(ids[a:b], np.uint32(END_ID))
