@@ -48,6 +48,16 @@ def test_deep_and_long_pages_end():
     assert html_text.visible_text("<table><tr><td>" * 3_000 + "deep")[1] == "deep"
 
 
+def test_rules_hold_at_every_depth():
+    for n in (10, 399, 1_000, 50_000):
+        deep = "<span>" * n
+        page = f"{deep}a<script>no</script><p hidden>no<b>no</b></p><div style='display:none'><i>no</i></div>c"
+        assert html_text.visible_text(page)[1] == "ac"
+        assert html_text.visible_text(f"<div hidden>{deep}<div>x</div>no</div>yes")[1] == "yes"
+        assert html_text.visible_text(f"{deep}<ul><li>x<li>y</ul>")[1] == "- x\n- y"
+        assert html_text.visible_text(f"{deep}<title>T</title>x") == ("T", "x")
+
+
 class Words(html.parser.HTMLParser):
     def __init__(self):
         super().__init__()

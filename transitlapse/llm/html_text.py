@@ -37,7 +37,6 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "option": ({"option"}, {"select"}),
     "optgroup": ({"option", "optgroup"}, {"select"}), "a": ({"a"}, {"td", "th", "table"}), "body": ({"head"}, set()),
 }
-MOST_DEEP = 400
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+>""")
@@ -104,14 +103,15 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def parse(page: str) -> Node:
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each name, so that no search walks the stack
 
     def close(tags: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+        at = last(tags)
+        if at and at >= last(stop):
+            for node in stack[at:]:
+                places[node.tag].pop()
+            del stack[at:]
 
     def imply(tag: str) -> None:
         """End what the tag ends, and open the row that a cell lies in."""
@@ -124,14 +124,14 @@ def parse(page: str) -> Node:
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
-        if len(stack) < MOST_DEEP:  # deeper elements lie beside each other
-            stack.append(node)
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
 
     for kind, value, source in _tokens(page):
         if kind == "text":
             stack[-1].children.append(html.unescape(value) if "&" in value and stack[-1].tag not in ("script", "style") else value)
         elif kind == "end":
-            if value == "p" and all(n.tag != "p" for n in stack):
+            if value == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p", {}))
             elif value not in ("html", "body"):
                 close({value}, {"table"} if value not in ("table", "html") else set())
@@ -236,16 +236,18 @@ def _render(root: Node, layout: Layout, depth: int = 0) -> None:
     lists: list[list] = []  # for each open list: its numbering, or None for bullets
     todo: list = [iter(root.children)]
     leave: list = [None]
+    open_pre = 0
 
     while todo:
         child = next(todo[-1], None)
         if child is None:
             todo.pop()
             if done := leave.pop():
+                open_pre -= done is _pre_end
                 done()
             continue
         if isinstance(child, str):
-            (layout.preformatted if any(x is _pre_end for x in leave) else layout.text)(child)
+            (layout.preformatted if open_pre else layout.text)(child)
             continue
         tag = child.tag
         if child.hidden or (tag == "input" and child.attributes.get("type", "").lower() == "hidden"):
@@ -293,6 +295,7 @@ def _render(root: Node, layout: Layout, depth: int = 0) -> None:
         leave.append((lambda done=done, lines=lines: (done and done(), layout.block(lines))) if lines and done is not _pre_end
                      else done)
         if done is _pre_end:
+            open_pre += 1
             layout.block(2)
 
 
