@@ -58,6 +58,15 @@ def test_rules_hold_at_every_depth():
         assert html_text.visible_text(f"{deep}<title>T</title>x") == ("T", "x")
 
 
+def test_options_in_groups_and_nested_tables():
+    groups = "<select><optgroup label=g><option>a<option>b</optgroup><optgroup><option{}>c</optgroup></select>"
+    assert html_text.visible_text(groups.format(""))[1] == "a"
+    assert html_text.visible_text(groups.format(" selected"))[1] == "c"
+    for n in (1, 7, 8, 9, 40, 2_000):
+        page = "<table><tr><td>" * n + "<table><tr><td>name<td>n<tr><td>x<td>3</table>" + "</table>" * n
+        assert html_text.visible_text(page)[1] == "name  n\nx     3"
+
+
 class Words(html.parser.HTMLParser):
     def __init__(self):
         super().__init__()

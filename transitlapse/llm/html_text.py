@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,7 +193,11 @@ class Layout:
         return "\n".join(x.rstrip() for x in "".join(self.parts).replace("\xa0", " ").split("\n"))
 
 
-def _table(node: Node, layout: Layout, depth: int) -> None:
+#: A step of the layout: asks for the text inside of nodes, one after the other.
+Steps = Generator[Node, str, None]
+
+
+def _table(node: Node, layout: Layout) -> Steps:
     rows = []
     for child in node.children:
         if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot") and not child.hidden:
@@ -209,7 +213,10 @@ def _table(node: Node, layout: Layout, depth: int) -> None:
             cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")] if row.tag == "tr" else []
             whole = not cells or any((c.strip() if isinstance(c, str) else c not in cells and not c.hidden) for c in row.children)
             parts = [row] if whole else [c for c in cells if not c.hidden]
-            grid.append([_inside(c, depth + 1) for c in parts])
+            line = []
+            for c in parts:
+                line.append((yield c))
+            grid.append(line)
     if any("\n" in cell for line in grid for cell in line):  # cells that hold blocks: one below the other
         for line in grid:
             for cell in filter(None, line):
@@ -225,13 +232,37 @@ def _table(node: Node, layout: Layout, depth: int) -> None:
                 layout._put(shown.rstrip())
 
 
-def _inside(node: Node, depth: int) -> str:
+def _inside(node: Node) -> str:
+    """The laid-out text inside of ``node``; a stack of unfinished layouts takes the place of recursion."""
     layout = Layout()
-    _render(node, layout, depth)
-    return layout.result()
+    open_ones, answer = [(_render(node, layout), layout)], None
+    while open_ones:
+        steps, layout = open_ones[-1]
+        try:
+            wanted = steps.send(answer)
+        except StopIteration:
+            open_ones.pop()
+            answer = layout.result()
+        else:
+            inner = Layout()
+            open_ones.append((_render(wanted, inner), inner))
+            answer = None
+    return answer
+
+
+def _options(select: Node) -> list[Node]:
+    """The options of a list, also those in groups that are shown."""
+    out, todo = [], [select]
+    while todo:
+        node = todo.pop()
+        if node.tag == "option":
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not (c.tag != "option" and c.hidden)]
+    return out
 
 
-def _render(root: Node, layout: Layout, depth: int = 0) -> None:
+def _render(root: Node, layout: Layout) -> Steps:
     """Lay out the children of ``root``; a stack of open elements takes the place of recursion."""
     lists: list[list] = []  # for each open list: its numbering, or None for bullets
     todo: list = [iter(root.children)]
@@ -256,18 +287,18 @@ def _render(root: Node, layout: Layout, depth: int = 0) -> None:
             layout.due, layout.space = layout.due + 1, False
             continue
         if tag == "select":
-            options = [c for c in child.children if isinstance(c, Node) and c.tag == "option"]
+            options = _options(child)
             chosen = next((o for o in options if "selected" in o.attributes), options[0] if options else None)
             if chosen:
-                layout.text(_inside(chosen, depth))
+                layout.text((yield chosen))
             continue
         lines = 2 if tag in PARAGRAPHS else 1 if tag in LINES else 0
         if tag in ("ul", "ol", "menu", "dir") and lists:
             lines = 1
         if lines:
             layout.block(lines)
-        if tag == "table" and depth < 8:
-            _table(child, layout, depth)
+        if tag == "table":
+            yield from _table(child, layout)
             layout.block(lines)
             continue
         done = None
@@ -312,7 +343,7 @@ def visible_text(page: str | None) -> tuple[str, str]:
         if node.tag == "title":
             title = _BLANKS.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return title, _inside(root, 0)
+    return title, _inside(root)
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
