@@ -41,6 +41,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 
 
 
+def _clustering(rounds: int = 5, k: int = 40, dimensions: int = 64) -> str:
+    """Every round as one statement of its own: assignment (a) of all vectors, then centroids (c)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT n, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT x.n, c.c, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c USING (j) GROUP BY ALL) GROUP BY n)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, o.j, coalesce((s - ((s % m + m) % m)) // m, o.v) AS v FROM c{r} o LEFT JOIN (
+  SELECT c, j, sum(v) AS s, count(*) AS m FROM a{r} JOIN x USING (n) GROUP BY ALL) USING (c, j))""")
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS n, vec_id, embedding AS v FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),
+x AS MATERIALIZED (SELECT n, j, CAST(floor(256 * CAST(v[j] AS DOUBLE)) AS HUGEINT) AS v FROM e, unnest(range(1, {dimensions + 1})) u(j)),
+p AS (SELECT n, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM e WHERE vec_id IS NOT NULL
+  ORDER BY sha256('2:' || vec_id) LIMIT {k}),
+c0 AS MATERIALIZED (SELECT c, j, v FROM p JOIN x USING (n)),
+{", ".join(steps)},
+h AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN h USING (c) JOIN e USING (n)"""
+
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -74,4 +97,5 @@ told AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) F
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (doc_id)"""
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES, "op5_secret_scan": SECRETS, "op8_decontaminate": DECONTAMINATE}
+ORACLES = {"op2_quality_rules": QUALITY_RULES, "op5_secret_scan": SECRETS, "op8_decontaminate": DECONTAMINATE,
+           "op11_centroid_clusters": _clustering()}

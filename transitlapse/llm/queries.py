@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_files
+from transitlapse.llm import centroid_clusters, decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_files
 from transitlapse.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from transitlapse.session import shared_folder
 
@@ -103,3 +104,17 @@ def op1_suffix_dedup(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
     return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                           F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_centroid_clusters(spark, sf_dir):
+    found = centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    members = found.members
+    most = (1 << 63) - 1
+    own = {r["cluster"]: int(r["own"]) for r in  # a sum for each centroid
+           members.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("own")).collect()}
+    about = [(c, min(n, most), min(sum(own.values()), most), hashlib.sha256(",".join(map(str, found.centroids[c].tolist())).encode()).hexdigest())
+             for c, n in own.items()]
+    about = spark.createDataFrame(about, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return members.join(F.broadcast(about), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
