@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import centroid_clusters, decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_files
+from transitlapse.llm import centroid_clusters, decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_alignment, token_files
 from transitlapse.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from transitlapse.session import shared_folder
 
@@ -21,11 +21,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def tokenizer_file() -> str:
-    """The public byte-level vocabulary that the contracts name."""
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary that the contracts name."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,3 +118,9 @@ def op11_centroid_clusters(spark, sf_dir):
     about = spark.createDataFrame(about, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return members.join(F.broadcast(about), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    found = token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"), ["doc_id"])
+    return found.documents
