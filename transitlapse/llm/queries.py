@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlapse.llm import centroid_clusters, decontaminate, html_text, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, suffix_dedup, token_alignment, token_files
+from transitlapse.llm import centroid_clusters, decontaminate, html_text, language_id, near_dedup, packing, personal_data, quality_classifier, quality_rules, secrets, suffix_dedup, token_alignment, token_files
 from transitlapse.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from transitlapse.session import shared_folder
 
@@ -124,3 +124,14 @@ def op11_centroid_clusters(spark, sf_dir):
 def op13_token_alignment(spark, sf_dir):
     found = token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"), ["doc_id"])
     return found.documents
+
+
+@query
+def op12_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find_personal(docs, personal_data.train(docs), ["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(number, personal_data.KINDS), F.sha2(written(base), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
