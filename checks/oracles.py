@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from checks.fixtures import with_views
+from transitlapse.schema import STEM_COLUMNS
 
 WEEK = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 MODES = ["rail", "metro", "tram", "bus", "other"]
@@ -814,9 +815,22 @@ Q["shapes_geojson"] = f"""SELECT feed_id, shape_id, '{{"type":"Feature","geometr
 Q["ingest_tables"] = " UNION ALL ".join(
     f"SELECT f.source_name, '{s}' AS stem, count(*) AS rows FROM fx_{s} t JOIN fx_feeds f ON f.feed_id = t.feed_id GROUP BY 1"
     for s in ["agency", "stops", "routes", "trips", "stop_times", "calendar", "shapes", "feed_info"])
-Q["csv_scan"] = """SELECT f.source_name, s.stop_id, s.stop_name, s.stop_lat, s.stop_lon FROM fx_stops s
-  JOIN fx_feeds f ON f.feed_id = s.feed_id"""
-Q["parquet_roundtrip"] = "SELECT * FROM op_routes"
+
+
+def _digest(table: str, stem: str, columns: list[str]) -> str:
+    line = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"""SELECT feed_id, '{stem}' AS stem, count(*) AS rows,
+      CAST(sum(CAST('0x' || substr(md5({line}), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM {table} GROUP BY 1"""
+
+
+_HEADSIGN = """CASE WHEN trip_headsign = '' THEN '' ELSE trip_headsign || chr(10) || '"' || trip_id || '",' || chr(10) || 'via' END"""
+_SCANNED = " UNION ALL ".join(
+    _digest("(SELECT * REPLACE (" + _HEADSIGN + " AS trip_headsign) FROM fx_trips)" if s == "trips" else f"fx_{s}", s, columns)
+    for s, columns in STEM_COLUMNS.items())
+Q["csv_scan"] = f"""SELECT f.source_name, d.stem, d.rows, d.digest FROM ({_SCANNED}) d JOIN fx_feeds f ON f.feed_id = d.feed_id"""
+Q["parquet_roundtrip"] = " UNION ALL ".join(_digest(f"fx_{s}", s, c) for s, c in [
+    *STEM_COLUMNS.items(), ("feeds", ["source_name", "loaded_at"])]) + " UNION ALL " + _digest(
+    "(SELECT feed_id, stem, cols AS columns FROM fx_files)", "files", ["stem", "columns"])
 Q["stream_ingest"] = "SELECT canonical_id, name, member_count, feed_count FROM op_canonstops"
 Q["components"] = """, op_cedge AS (SELECT 'c:' || CAST(CAST(floor(lat * 50) AS BIGINT) AS VARCHAR) AS a, 'n:' || stop_id AS b FROM op_stops),
   op_cboth AS (SELECT a, b FROM op_cedge UNION SELECT b, a FROM op_cedge),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -760,17 +762,36 @@ def q_shapes_geojson(ws):
 
 # ---- ingest and storage ----
 
+#: Files of the archives come in many ranges, also at small scale.
+SMALL_RANGES = 1 << 18
+
+def broken_headsign() -> Column:
+    """Headsigns of the archives: with line breaks, quotes and commas inside, so that files need a quoting reader."""
+    sign = F.col("trip_headsign")
+    return F.when(sign == "", sign).otherwise(F.concat(sign, F.lit('\n"'), F.col("trip_id"), F.lit('",\nvia')))
+
+
+def _digests(feeds, columns: dict[str, list[str]]) -> DataFrame:
+    """Rows of every table and feed, and the sum of a hash of all their values; empty texts count as null."""
+    parts = []
+    for stem, names in columns.items():
+        line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+        parts.append(getattr(feeds, stem).groupBy("feed_id").agg(
+            F.count("*").alias("rows"), F.sum(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")).alias("digest")).withColumn("stem", F.lit(stem)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _archives(ws: Workspace) -> str:
     if not hasattr(ws, "_zips"):
         path = archives.scratch(ws.spark, "archives")
-        archives.write_archives(ws.feeds, path)
+        archives.write_archives(dataclasses.replace(ws.feeds, trips=ws.feeds.trips.withColumn("trip_headsign", broken_headsign())), path)
         ws._zips = f"{path}/zip"
     return ws._zips
 
 
 def _ingested(ws: Workspace):
     if not hasattr(ws, "_ingest"):
-        ws._ingest = ingest.ingest(ws.spark, _archives(ws), archives.scratch(ws.spark, "staging"), 1700000000000)
+        ws._ingest = ingest.ingest(ws.spark, _archives(ws), archives.scratch(ws.spark, "staging"), 1700000000000, SMALL_RANGES)
     return ws._ingest
 
 
@@ -792,14 +813,16 @@ def q_ingest_tables(ws):
 @query
 def q_csv_scan(ws):
     feeds, _ = _ingested(ws)
-    return _by_source(feeds, feeds.stops.select("feed_id", *STEM_COLUMNS["stops"]))
+    return _by_source(feeds, _digests(feeds, STEM_COLUMNS))
 
 
 @query
 def q_parquet_roundtrip(ws):
     path = archives.scratch(ws.spark, "tables")
     store.save_feeds(ws.feeds, path)
-    return S.typed_routes(store.load_feeds(ws.spark, path))
+    back = store.load_feeds(ws.spark, path)
+    back.files = back.files.withColumn("columns", F.array_join("columns", ","))
+    return _digests(back, STEM_COLUMNS | {"files": ["stem", "columns"], "feeds": ["source_name", "loaded_at"]})
 
 
 @query
