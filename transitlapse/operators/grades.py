@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transitlapse.functions.geo import cell_polygon, half_up, haversine_m
+from transitlapse.functions.geo import EARTH_RADIUS_M, cell_polygon, half_up, haversine_m
 from transitlapse.operators import service as S
 from transitlapse.operators.diff import PAIR
 from transitlapse.schema import Feeds
@@ -94,15 +94,16 @@ def stop_categories(feeds: Feeds) -> DataFrame:
         "mode_category", "category")
 
 
-def grade_grid(stops: DataFrame, win: CellWindow) -> DataFrame:
-    """Best grade of every covered cell per feed, with the distance and category that give it.
+#: Columns of one block of a raster row: what is grouped together.
+BLOCK_COLS = 256
+
 
-    Stops at one place and category count once; each lists only the cells inside its own radius, and cells
-    are reduced before the shuffle.
+def row_intervals(places: DataFrame, win: CellWindow) -> DataFrame:
+    """The columns that each place reaches in each raster row, cut at blocks of columns (row, block, c0, c1).
+
+    The chord of the circle in a row follows from the haversine formula; it is taken a cell wider on either side, the
+    exact test is left to the cells.
     """
-    if not win.cols or not win.rows:
-        win = CellWindow(win.west, win.north, 1.0, 1.0, 0, 0)
-    places = stops.select("feed_id", "lat", "lon", "category").distinct()
     radius = _lookup(MAX_RADIUS_M, F.col("category") - 1)
     d_lat = radius / F.lit(111_000.0)
     d_lon = radius / (F.lit(111_000.0) * F.greatest(F.lit(0.01), F.cos(F.radians("lat"))))
@@ -114,21 +115,53 @@ def grade_grid(stops: DataFrame, win: CellWindow) -> DataFrame:
 
     r0, r1 = span(F.lit(win.north) - F.col("lat"), d_lat, win.cell_y, win.rows)
     c0, c1 = span(F.col("lon") - F.lit(win.west), d_lon, win.cell_x, win.cols)
-    cells = (
+    rows = (
         places.withColumn("radius", radius)
-        .withColumn("r0", r0).withColumn("r1", r1).withColumn("c0", c0).withColumn("c1", c1)
-        .where("r0 <= r1 AND c0 <= c1")
-        .withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+        .withColumn("r0", r0).withColumn("r1", r1).withColumn("box0", c0).withColumn("box1", c1)
+        .where("r0 <= r1 AND box0 <= box1").withColumn("row", F.explode(F.sequence(F.col("r0").cast("int"), F.col("r1").cast("int"))))
+        .withColumn("row_lat", F.lit(win.north) - (F.col("row") + 0.5) * F.lit(win.cell_y))
     )
-    cell_lat = F.lit(win.north) - (F.col("row") + 0.5) * F.lit(win.cell_y)
+    square = lambda x: x * x
+    left = square(F.sin(F.col("radius") / F.lit(2 * EARTH_RADIUS_M))) - square(F.sin(F.radians(F.col("row_lat") - F.col("lat")) / 2))
+    across = F.cos(F.radians("row_lat")) * F.cos(F.radians("lat"))
+    # Rounding must not lose a row that the circle just touches.
+    reach = F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), left) / across))))
+    at = F.col("lon") - F.lit(win.west)
+    chord = (
+        rows.where(left >= -1e-12)
+        .withColumn("c0", F.greatest(F.col("box0"), F.ceil((at - reach) / F.lit(win.cell_x) - 1.5)).cast("int"))
+        .withColumn("c1", F.least(F.col("box1"), F.floor((at + reach) / F.lit(win.cell_x) + 0.5)).cast("int"))
+        .where("c0 <= c1")
+        .withColumn("block", F.explode(F.sequence(F.expr(f"c0 div {BLOCK_COLS}"), F.expr(f"c1 div {BLOCK_COLS}"))))
+    )
+    first = F.col("block") * BLOCK_COLS
+    return chord.select("feed_id", "row", "block", "lat", "lon", "category", "radius", "row_lat",
+                        F.greatest("c0", first).alias("c0"), F.least("c1", first + (BLOCK_COLS - 1)).alias("c1"))
+
+
+def grade_grid(stops: DataFrame, win: CellWindow) -> DataFrame:
+    """Best grade of every covered cell per feed, with the distance and category that give it.
+
+    Stops at one place and category count once. What is shuffled is one interval of columns for each place, raster row
+    and block of columns; cells come into being behind it and are reduced where they are, by a hash aggregate that keeps
+    the nearest place of each category. Within a category the nearest place has the best grade.
+    """
+    if not win.cols or not win.rows:
+        win = CellWindow(win.west, win.north, 1.0, 1.0, 0, 0)
+    places = stops.select("feed_id", "lat", "lon", "category").distinct()
+    keys = ["feed_id", "row", "block"]
+    intervals = row_intervals(places, win).repartition(*keys)
+    cells = intervals.withColumn("col", F.explode(F.sequence("c0", "c1")))
     cell_lon = F.lit(win.west) + (F.col("col") + 0.5) * F.lit(win.cell_x)
-    flat = [v for row in GRADE for v in row]
-    grade = _lookup(flat, (F.col("category") - 1) * 5 + distance_class(F.col("dist_m")))
+    near = cells.withColumn("dist_m", haversine_m(F.col("lat"), F.col("lon"), F.col("row_lat"), cell_lon)).where("dist_m <= radius")
+    categories = range(1, len(GRADE) + 1)
+    nearest = near.groupBy(*keys, "col").agg(*[F.min(F.when(F.col("category") == k, F.col("dist_m"))).alias(f"_{k}") for k in categories])
+    of = lambda k: _lookup(GRADE[k - 1], distance_class(F.col(f"_{k}")))
+    ranked = F.array(*[F.when(of(k).isNotNull(), F.struct(of(k).alias("grade"), F.col(f"_{k}").alias("dist_m"), F.lit(k).alias("category")))
+                       for k in categories])
     return (
-        cells.withColumn("dist_m", haversine_m(F.col("lat"), F.col("lon"), cell_lat, cell_lon))
-        .where("dist_m <= radius").withColumn("grade", grade).where("grade IS NOT NULL")
-        .groupBy("feed_id", "row", "col").agg(F.min(F.struct("grade", "dist_m", "category")).alias("best"))
-        .select("feed_id", "row", "col", "best.*")
+        nearest.select("feed_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.array_min(ranked).alias("best"))
+        .where("best IS NOT NULL").select("feed_id", "row", "col", "best.*")
     )
 
 
