@@ -6,30 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlapse.functions.geo import haversine_m
-from transitlapse.session import cut_lineage
+from transitlapse.session import cut_lineage, drop_table
+
+
+#: A node with more edges than this is a hub: its edges are dealt to several join keys. A larger input raises the
+#: number, so that there are never more than MOST_HUBS of them.
+HUB_EDGES = 500_000
+MOST_HUBS = 20_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges`` (src, dst) with the smallest node it is connected to.
 
     Alternates large-star and small-star steps: each pulls a node's neighbours onto the smallest of them, so
-    a hub's neighbour list is never gathered, only its minimum. Every round is written out.
+    a hub's neighbour list is never gathered, only its minimum. Every round is written out, and deleted when the next
+    one is there.
     """
     e = edges.select("src", "dst").where("src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     e = cut_lineage(e)
     mark = _signature(e)
     while True:
+        most = 2 * mark[0]
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        low = _least(both).withColumn("m", F.least("src", "m"))
+        large = join_least(both, low, most).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         large = large.where("src <> dst").distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        pulled = large.join(low, "src").select(
+        pulled = join_least(large, _least(large), most).select(
             F.explode(F.array(F.struct("src", F.col("m").alias("dst")),
                               F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e"))
-        e = cut_lineage(pulled.select("e.src", "e.dst").where("src <> dst").distinct())
-        now = _signature(e)
+        after = cut_lineage(pulled.select("e.src", "e.dst").where("src <> dst").distinct())
+        drop_table(e)
+        e, now = after, _signature(after)
         if now == mark:
             break
         mark = now
@@ -37,6 +45,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Each node's smallest neighbour and its number of edges."""
+    return edges.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+
+
+def join_least(edges: DataFrame, least: DataFrame, most_edges: int) -> DataFrame:
+    """``edges`` (src, dst) with ``m`` of their src from ``least`` (src, m, n).
+
+    A hub's edges are dealt by their other end to parts of about ``HUB_EDGES``, each with a copy of the hub's one row.
+    Hubs are at most ``MOST_HUBS`` rows: there cannot be more nodes with so large a share of ``most_edges`` edges. Where
+    all edges together are no more than one part, no node is a hub.
+    """
+    part = max(HUB_EDGES, most_edges // MOST_HUBS)
+    if most_edges <= part:
+        return edges.join(least.drop("n"), "src")
+    parts = F.ceil(F.col("n") / part).cast("int")
+    hubs = least.where(F.col("n") > part).select("src", parts.alias("parts"))
+    dealt = edges.join(F.broadcast(hubs), "src", "left").withColumn(
+        "part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = least.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copies, ["src", "part"]).drop("part")
+
+
 def _signature(e: DataFrame) -> tuple:
     digest = F.xxhash64("src", "dst").cast("decimal(20,0)")
     return tuple(e.agg(F.count("*"), F.sum(digest), F.sum(digest * digest % 1000003)).first())
@@ -45,20 +76,23 @@ def _signature(e: DataFrame) -> tuple:
 # A cell is a little wider than the radius, so one ring of neighbours always suffices.
 _SAFE_M_PER_DEG = 111_000.0
 _SPLIT = 8
+_POLAR_LAT = 89.0
+#: Degrees of a tile near a pole, where a cell spans all longitudes.
+_POLAR_TILE = 5.625
 
 
 def _lon_step(row: Column, step: float, eps: float) -> Column:
-    """Width in degrees of a cell in latitude row ``row``, wide enough for the rows next to it too."""
+    """Width in degrees of a cell in latitude row ``row``, wide enough for the rows next to it too; a full turn at a pole."""
     reach = F.greatest(F.abs(row), F.abs(row + 1)) + 1
-    cos = F.greatest(F.cos(F.radians(F.least(F.lit(90.0), reach * F.lit(step)))), F.lit(1e-6))
-    return F.lit(eps / _SAFE_M_PER_DEG) / cos
+    cos = F.greatest(F.cos(F.radians(F.least(F.lit(90.0), reach * F.lit(step)))), F.lit(1e-12))
+    return F.least(F.lit(360.0), F.lit(eps / _SAFE_M_PER_DEG) / cos)
 
 
 def _tiles(points: DataFrame, eps: float, group: list[str]) -> DataFrame:
     """Points with the small tile they lie in; a tile's diagonal is far below the radius."""
     step = eps / _SAFE_M_PER_DEG
     placed = points.withColumn("row", F.floor(F.col("lat") / F.lit(step)))
-    placed = placed.withColumn("tx", F.floor(F.col("lon") / (_lon_step(F.col("row"), step, eps) / _SPLIT)))
+    placed = placed.withColumn("tx", F.floor(F.col("lon") / F.least(_lon_step(F.col("row"), step, eps) / _SPLIT, F.lit(_POLAR_TILE))))
     placed = placed.withColumn("ty", F.floor(F.col("lat") / F.lit(step / _SPLIT)))
     if group:
         return placed.withColumn("tile", F.concat_ws("\u0001", F.lit("tile"), *group, "tx", "ty"))
@@ -68,11 +102,17 @@ def _tiles(points: DataFrame, eps: float, group: list[str]) -> DataFrame:
 def _tile_pairs(tiles: DataFrame, eps: float, group: list[str]) -> DataFrame:
     """Neighbouring tiles that may hold points within the radius, and whether they surely do.
 
-    Works on one row per occupied tile, so the cost does not depend on how many points share a place.
+    Works on one row per occupied tile, so the cost does not depend on how many points share a place. Tiles near
+    longitude 180 stand a second time a full turn away, where their neighbours beyond it are; near a pole, a cell
+    spans all longitudes and points are compared one by one, so that links across it are found too.
     """
     step = eps / _SAFE_M_PER_DEG
     cell = tiles.withColumn("cx", F.floor(F.col("lon_lo") / _lon_step(F.col("row"), step, eps)))
-    far = tiles.withColumn("row", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)))
+    edge = 2 * F.least(F.lit(180.0), _lon_step(F.col("row"), step, eps))
+    turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("lon_lo") <= edge - 180, 360.0), F.when(F.col("lon_hi") >= 180 - edge, -360.0)))
+    far = tiles.withColumn("turn", F.explode(turns)).withColumn("lon_lo", F.col("lon_lo") + F.col("turn")).withColumn(
+        "lon_hi", F.col("lon_hi") + F.col("turn"))
+    far = far.withColumn("row", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)))
     width = _lon_step(F.col("row"), step, eps)
     far = far.withColumn("cx", F.explode(F.sequence(
         F.floor(F.col("lon_lo") / width) - 1, F.floor(F.col("lon_hi") / width) + 1)))
@@ -92,7 +132,8 @@ def _tile_pairs(tiles: DataFrame, eps: float, group: list[str]) -> DataFrame:
                     F.lit(0.0)).otherwise(lo_abs)
     plane = lambda dlat, dlon, cos: F.lit(111_194.93) * F.sqrt(dlat * dlat + dlon * cos * dlon * cos)
     at_most = plane(dlat_max, dlon_max, F.cos(F.radians(lo_abs))) * 1.001
-    at_least = plane(dlat_min, dlon_min, F.cos(F.radians(hi_abs))) / 1.001
+    polar = hi_abs > _POLAR_LAT  # a way across the pole is shorter than along a parallel
+    at_least = plane(dlat_min, F.when(polar, F.lit(0.0)).otherwise(dlon_min), F.cos(F.radians(hi_abs))) / 1.001
     points = (c("a_lat_lo") == c("a_lat_hi")) & (c("a_lon_lo") == c("a_lon_hi")) & (
         c("b_lat_lo") == c("b_lat_hi")) & (c("b_lon_lo") == c("b_lon_hi"))
     exact = haversine_m(c("a_lat_lo"), c("a_lon_lo"), c("b_lat_lo"), c("b_lon_lo")) <= eps
