@@ -828,6 +828,7 @@ def q_parquet_roundtrip(ws):
 @query
 def q_stream_ingest(ws):
     path = archives.scratch(ws.spark, "stream")
-    watch.watch_archives(ws.spark, _archives(ws), f"{path}/staging", f"{path}/out", f"{path}/ckpt").awaitTermination()
+    watch.watch_archives(ws.spark, _archives(ws), f"{path}/staging", f"{path}/out", f"{path}/ckpt",
+                         archives_per_batch=2).awaitTermination()  # three drops
     built = R.load_registry(ws.spark, f"{path}/out/registry")
     return built.canonical_stops.select("canonical_id", "name", "member_count", "feed_count")

@@ -99,9 +99,11 @@ def _tiles(points: DataFrame, eps: float, group: list[str]) -> DataFrame:
     return placed.withColumn("tile", F.col("ty") * F.lit(1 << 32) + F.col("tx") + F.lit(1 << 31))
 
 
-def _tile_pairs(tiles: DataFrame, eps: float, group: list[str]) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, eps: float, group: list[str], fresh_only: bool = False) -> DataFrame:
     """Neighbouring tiles that may hold points within the radius, and whether they surely do.
 
+    With ``fresh_only`` at least one tile of a pair is ``fresh``.
+
     Works on one row per occupied tile, so the cost does not depend on how many points share a place. Tiles near
     longitude 180 stand a second time a full turn away, where their neighbours beyond it are; near a pole, a cell
     spans all longitudes and points are compared one by one, so that links across it are found too.
@@ -116,11 +118,13 @@ def _tile_pairs(tiles: DataFrame, eps: float, group: list[str]) -> DataFrame:
     width = _lon_step(F.col("row"), step, eps)
     far = far.withColumn("cx", F.explode(F.sequence(
         F.floor(F.col("lon_lo") / width) - 1, F.floor(F.col("lon_hi") / width) + 1)))
-    fields = ["tile", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "feed_lo", "feed_hi"]
+    fields = ["tile", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "feed_lo", "feed_hi", *(["fresh"] if fresh_only else [])]
     a = far.select(*group, "row", "cx", *[F.col(c).alias(f"a_{c}") for c in fields])
     b = cell.select(*group, "row", "cx", *[F.col(c).alias(f"b_{c}") for c in fields])
     c = F.col
     pairs = a.join(b, [*group, "row", "cx"]).where("a_tile < b_tile")
+    if fresh_only:
+        pairs = pairs.where("a_fresh OR b_fresh")
     dlat_max = F.greatest(c("a_lat_hi"), c("b_lat_hi")) - F.least(c("a_lat_lo"), c("b_lat_lo"))
     dlon_max = F.greatest(c("a_lon_hi"), c("b_lon_hi")) - F.least(c("a_lon_lo"), c("b_lon_lo"))
     gap = lambda lo1, hi1, lo2, hi2: F.greatest(F.lit(0.0), c(lo2) - c(hi1), c(lo1) - c(hi2))
@@ -185,6 +189,39 @@ def spatial_scopes(points: DataFrame, eps: float) -> DataFrame:
         "key", F.coalesce("component", "tile").alias("scope"))
 
 
+def extend_scopes(points: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """``spatial_scopes`` where some points (key, feed_id, lat, lon, scope) have their scope already.
+
+    Only tiles with a point without scope are linked; what they reach is merged by its labels. Returns the scopes of the
+    new points (key, scope) and the labels that changed (old, new). Labels are those of linking all points anew.
+    """
+    placed = cut_lineage(_tiles(points, eps, []))
+    boxes = _tile_boxes(placed, []).join(
+        placed.groupBy("tile").agg(F.bool_or(F.col("scope").isNull()).alias("fresh")), "tile")
+    pairs = cut_lineage(_tile_pairs(boxes, eps, [], fresh_only=True))
+    known = placed.where("scope IS NOT NULL").select(F.col("tile").alias("src"), F.col("scope").alias("dst")).distinct()
+    met = pairs.select(F.col("a_tile").alias("src")).unionByName(pairs.select(F.col("b_tile").alias("src"))).unionByName(
+        placed.where("scope IS NULL").select(F.col("tile").alias("src"))).distinct()
+    known = known.join(met, "src", "left_semi")
+    sure = pairs.where("sure").select(F.col("a_tile").alias("src"), F.col("b_tile").alias("dst"))
+    labels = connected_components(sure.unionByName(known))
+    name = lambda x: labels.select(F.col("node").alias(f"{x}_tile"), F.col("component").alias(f"{x}_c"))
+    joined = pairs.where("NOT sure").join(name("a"), "a_tile", "left").join(name("b"), "b_tile", "left").select(
+        "a_tile", "b_tile", F.coalesce("a_c", "a_tile").alias("a_c"), F.coalesce("b_c", "b_tile").alias("b_c"))
+    sites = placed.select("tile", "lat", "lon").distinct()
+    found = _close_points(joined.where("a_c <> b_c"), sites, eps, F.lit(True)).select(
+        F.col("a_c").alias("src"), F.col("b_c").alias("dst")).distinct()
+    found = cut_lineage(found)
+    if not found.isEmpty():
+        labels = connected_components(labels.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found))
+    labels = labels.select(F.col("node").alias("tile"), "component")
+    scopes = placed.where("scope IS NULL").join(labels, "tile", "left").groupBy("key").agg(
+        F.min(F.coalesce("component", "tile")).alias("scope"))
+    merged = known.select(F.col("dst").alias("tile")).distinct().join(labels, "tile").where("tile <> component").select(
+        F.col("tile").alias("old"), F.col("component").alias("new"))
+    return scopes, merged
+
+
 def cross_feed_links(points: DataFrame, eps: float, group: str) -> DataFrame:
     """Edges linking points (key, feed_id, lat, lon, group) of one group, different feeds, within ``eps``.
 

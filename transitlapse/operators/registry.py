@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,7 +97,11 @@ def stop_canonical_id(lat: Column, lon: Column, name_key: Column) -> Column:
 
 def match_stops(feeds: Feeds, eps: float = SCOPE_M) -> DataFrame:
     """Every raw stop with its canonical id: feed_id, raw_id, name, name_key, lat, lon, canonical_id."""
-    grouped = stop_components(raw_stops(feeds), eps)
+    return with_canonical_ids(stop_components(raw_stops(feeds), eps))
+
+
+def with_canonical_ids(grouped: DataFrame) -> DataFrame:
+    """Stops of identity groups (column ``component``) with the canonical id of their group."""
     ids = _stop_summary(grouped, "component").select(
         "component", stop_canonical_id(F.col("lat"), F.col("lon"), F.col("name_key")).alias("canonical_id"))
     return grouped.join(ids, "component").drop("component")
@@ -145,8 +150,9 @@ class Registry:
     canonical_routes: DataFrame
 
 
-def build_registry(feeds: Feeds, overrides: DataFrame | None = None) -> Registry:
-    stops, routes = match_stops(feeds), match_routes(feeds)
+def build_registry(feeds: Feeds, overrides: DataFrame | None = None, stops: DataFrame | None = None) -> Registry:
+    """The registry of all feeds; ``stops`` may be given as kept from batch to batch, in the form of ``match_stops``."""
+    stops, routes = match_stops(feeds) if stops is None else stops, match_routes(feeds)
     if overrides is None:
         stops, routes = cut_lineage(stops), cut_lineage(routes)
         return Registry(stops, routes, canonical_stops(stops), canonical_routes(routes))
@@ -265,20 +271,30 @@ def stale_feeds(built: DataFrame, loaded: DataFrame) -> DataFrame:
     return gone.unionByName(new)
 
 
+_SNAPSHOTS = "snapshot string, number bigint, saved_at timestamp"
+
+
 def save_registry(registry: Registry, path: str) -> None:
     """Write a whole new snapshot, then one row that makes it the current one: readers never see half of it."""
-    snapshot = uuid.uuid4().hex
+    snapshot, spark = uuid.uuid4().hex, registry.stops.sparkSession
     for name in ("stops", "routes", "canonical_stops", "canonical_routes"):
         getattr(registry, name).withColumn("registry_version", F.lit(REGISTRY_VERSION)).write.option(
             "compression", "zstd").parquet(f"{path}/{snapshot}/{name}")
-    now = registry.stops.sparkSession.range(1).select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("saved_at"))
+    try:
+        last = spark.read.schema(_SNAPSHOTS).parquet(f"{path}/_current").agg(F.max("number")).first()[0]
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        last = None
+    now = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit((last or 0) + 1).cast("bigint").alias("number"),
+                                F.current_timestamp().alias("saved_at"))
     now.write.mode("append").parquet(f"{path}/_current")
 
 
 def load_registry(spark, path: str) -> Registry | None:
-    """The saved registry, or none when it was written by another version."""
-    current = spark.read.schema("snapshot string, saved_at timestamp").parquet(f"{path}/_current")
-    at = f"{path}/{current.orderBy(F.desc('saved_at')).first()['snapshot']}"
+    """The saved registry, or none when it was written by another version. The snapshot of the highest number is current."""
+    current = spark.read.schema(_SNAPSHOTS).parquet(f"{path}/_current")
+    at = f"{path}/{current.orderBy(F.desc_nulls_last('number'), F.desc('saved_at'), 'snapshot').first()['snapshot']}"
     parts = {n: spark.read.parquet(f"{at}/{n}") for n in ("stops", "routes", "canonical_stops", "canonical_routes")}
     other = parts["stops"].where(F.col("registry_version") != REGISTRY_VERSION)
     if not other.isEmpty():
