@@ -831,6 +831,11 @@ Q["csv_scan"] = f"""SELECT f.source_name, d.stem, d.rows, d.digest FROM ({_SCANN
 Q["parquet_roundtrip"] = " UNION ALL ".join(_digest(f"fx_{s}", s, c) for s, c in [
     *STEM_COLUMNS.items(), ("feeds", ["source_name", "loaded_at"])]) + " UNION ALL " + _digest(
     "(SELECT feed_id, stem, cols AS columns FROM fx_files)", "files", ["stem", "columns"])
+_REPAIRED = " UNION ALL ".join(_digest(f"fx_{s}", s, STEM_COLUMNS[s]) for s in ("stops", "routes", "stop_times"))
+Q["feed_repair"] = f"""SELECT f.source_name, d.stem, d.rows, d.digest, r.reason, r.outcome FROM ({_REPAIRED}) d
+  JOIN fx_feeds f ON f.feed_id = d.feed_id LEFT JOIN (VALUES ('america_net.ZIP', 'stop_times', 'stale', 'repaired'),
+    ('asia net (2019).zip', 'stop_times', 'stale', 'as in archive'), ('europe_net.ZIP', 'routes', 'missing', 'repaired'))
+    r(source_name, stem, reason, outcome) ON r.source_name = f.source_name AND r.stem = d.stem"""
 Q["stream_ingest"] = "SELECT canonical_id, name, member_count, feed_count FROM op_canonstops"
 Q["components"] = """, op_cedge AS (SELECT 'c:' || CAST(CAST(floor(lat * 50) AS BIGINT) AS VARCHAR) AS a, 'n:' || stop_id AS b FROM op_stops),
   op_cboth AS (SELECT a, b FROM op_cedge UNION SELECT b, a FROM op_cedge),

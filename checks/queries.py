@@ -25,7 +25,7 @@ from transitlapse.operators import registry as R
 from transitlapse.operators import service as S
 from transitlapse.operators import timeline as T
 from transitlapse.schema import STEM_COLUMNS, capabilities
-from transitlapse.sources import geojson, ingest, store, truth
+from transitlapse.sources import geojson, ingest, repair, store, truth
 from transitlapse.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -825,6 +825,27 @@ def q_parquet_roundtrip(ws):
     return _digests(back, STEM_COLUMNS | {"files": ["stem", "columns"], "feeds": ["source_name", "loaded_at"]})
 
 
+@query
+def q_feed_repair(ws):
+    """Tables stored without departure times in one feed and without routes in another, after their repair."""
+    feeds, _ = _ingested(ws)
+    named = feeds.feeds.select("feed_id", "source_name")
+    of = lambda df, source: df.join(named.where(F.col("source_name") == source), "feed_id").drop("source_name")
+    rest = lambda df, source: df.join(named.where(F.col("source_name") == source), "feed_id", "left_anti")
+    old, short = "america_net.ZIP", "europe_net.ZIP"
+    stripped = F.when(F.col("stem") == "stop_times", F.array_remove("columns", "departure_time")).otherwise(F.col("columns"))
+    files = rest(feeds.files, old).unionByName(of(feeds.files, old).withColumn("columns", stripped))
+    files = rest(files, short).unionByName(of(files, short).where("stem <> 'routes'"))
+    times = rest(feeds.stop_times, old).unionByName(of(feeds.stop_times, old).withColumn("departure_time", F.lit(None).cast("string")))
+    path = archives.scratch(ws.spark, "repair")
+    store.save_feeds(dataclasses.replace(feeds, files=files, stop_times=times, routes=rest(feeds.routes, short)), path)
+    raw = ingest.archives(ws.spark, _archives(ws), 1700000000000)
+    done = repair.repair(ws.spark, path, raw, archives.scratch(ws.spark, "staging"), SMALL_RANGES)
+    back = store.load_feeds(ws.spark, path)
+    found = _digests(back, {s: STEM_COLUMNS[s] for s in ("stops", "routes", "stop_times")})
+    return _by_source(back, found.join(done.select("feed_id", "stem", "reason", "outcome"), ["feed_id", "stem"], "left"))
+
+
 @query
 def q_stream_ingest(ws):
     path = archives.scratch(ws.spark, "stream")
