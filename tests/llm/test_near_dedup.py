@@ -157,3 +157,19 @@ def test_recall_at_the_least_similarity(spark):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(cases.docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert sum(i != w for i, w in enumerate(want)) > 30
+
+
+@pytest.mark.parametrize("n", [5, 9, 12, 15, 25, 33, 40, 100, 300, 1500])
+def test_pairs_at_the_least_similarity_share_a_sketch(n):
+    """Of pairs with a share of words exchanged, in texts of distinct words, nearly all have a sketch in common."""
+    rng = np.random.default_rng(n)
+    for similarity, least in ((0.8, 0.93), (0.85, 0.97), (0.9, 0.99)):
+        met = 0
+        for _ in range(150):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            edits = int((1 - similarity) * n + 1e-9)
+            b[rng.choice(n, edits, replace=False)] = rng.integers(0, 2**63, edits).astype(np.uint64)
+            (x, y), _ = near_dedup.text_sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+            met += bool(np.isin(x, y).any())
+        assert met >= least * 150, (similarity, met)
