@@ -83,3 +83,55 @@ def test_languages_of_odd_rows(spark):
     empty = language_id.train(docs.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(cases.docs(spark, ["the"]), empty, ["doc_id"]).collect()} == {"und"}
     assert language_id.predict(cases.docs(spark, []), model, ["doc_id"]).count() == 0
+
+
+def test_every_text_with_a_letter_has_a_language(spark):
+    docs = cases.docs(spark, ["a", "zu", "a b"]).selectExpr("doc_id", "text", "case doc_id when 1 then 'de' else 'en' end lang")
+    model = language_id.train(docs)
+    texts = ["a", "1a!", " Z ", "é", "日", "1", "", "...", None, "a" * 3_000_000]
+    rows = {r["doc_id"]: r for r in language_id.predict(cases.docs(spark, texts), model, ["doc_id"]).collect()}
+    assert [rows[i]["lang_pred"] != "und" for i in range(len(texts))] == [True] * 5 + [False] * 4 + [True]
+    assert rows[0]["lang_pred"] == "en" and rows[5]["score"] == 0.0
+
+
+def plain_grams(text):
+    """Bytes of letters in lower case, other bytes as breaks, a break on both sides; n-grams that begin with two breaks are none."""
+    shown = [32, *(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()), 32]
+    return [bytes(shown[i : i + k]) for k in (2, 3, 4) for i in range(len(shown) - k + 1) if shown[i : i + 2] != [32, 32]]
+
+
+def test_grams_and_language_sets_against_plain_ones():
+    import pyarrow as pa
+
+    from transitlapse.llm import scan
+
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "  ", "Ab1c", "über die", "a", *("".join(rng.choice(list("aB 1é"), 30)) for _ in range(40))]
+    (_, _, buf, offsets), = scan.chunks(pa.array(texts))
+    row, _, n = language_id.grams(buf, offsets)
+    assert [int(n[row == i].sum()) for i in range(len(texts))] == [len(plain_grams(t)) for t in texts]
+    for t in set(texts):
+        kinds = len(set(plain_grams(t)))  # n-grams may share a bucket
+        assert 0.9 * kinds <= len(n[row == texts.index(t)]) <= kinds
+    # Sets and shares against expectation maximisation of every pair, followed for very long.
+    for _ in range(10):
+        p = rng.dirichlet(np.full(30, 0.5), 4).T + 1e-3
+        p /= p.sum(axis=0)
+        w = rng.dirichlet(np.full(4, 0.3))
+        count = rng.multinomial(300, p @ w).astype(float)
+
+        def likely(chosen):
+            s = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(5_000):
+                s = s * (p[:, chosen].T @ (count / (p[:, chosen] @ s))) / count.sum()
+            return count @ np.log(p[:, chosen] @ s), s
+
+        chosen = [max(range(4), key=lambda k: likely([k])[0])]
+        while len(chosen) < 4:
+            k = max((k for k in range(4) if k not in chosen), key=lambda k: likely([*chosen, k])[0])
+            if likely([*chosen, k])[0] - likely(chosen)[0] <= language_id.PENALTY * np.log(301):
+                break
+            chosen.append(k)
+        got = language_id.shares(p, count)
+        assert list(got) == chosen
+        assert all(abs(got[k] - s) < 0.05 for k, s in zip(chosen, likely(chosen)[1]))

@@ -5,13 +5,20 @@ proportions of a text maximise the likelihood of its n-grams under a mixture of
 grows by the language that raises the likelihood most, as long as the gain exceeds a penalty for the added
 language. The predicted language is the set's largest share, its score that share.
 
+A text stands between two breaks, so one letter already has n-grams. Shares are followed until no other shares can be
+likelier by more than GAP (the bound: total * log of the largest gradient), and a text keeps one language without
+further trials only if that bound shows that no mixture pays its price.
+
 Counting sends one row for each language and partition to the driver: (number of languages) x 2^BITS sums, whatever
 the size of the input. Texts that are null or have no letter are ``und`` with score 0. Repeated rows get equal
-results; an empty table gives an empty result; without learnable documents every text is ``und``.
+results; an empty table gives an empty result; without learnable documents every text is ``und``; of equal shares the
+language added first to the set counts, of equal likelihoods the one first by name. A text is one array in its task, of
+any length. A kept column named like a result is replaced by it.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +34,9 @@ SIZES = (2, 3, 4)
 UNKNOWN = "und"
 #: What a further language must gain: this many times the log of the number of n-grams.
 PENALTY = 4.0
-STEPS = 12
+#: How far, as a logarithm, a likelihood may stay below the most its languages can reach, and the rounds for it.
+GAP = 0.1
+STEPS = 200
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -39,8 +48,10 @@ def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Row, bucket and count of the n-grams of a chunk's texts; other bytes than letters count as one break each."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shown = _SHOWN[buf]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    long = np.diff(offsets)
+    shown = np.full(len(buf) + 2 * len(long), 32, np.uint64)
+    shown[np.arange(len(buf)) + np.repeat(2 * np.arange(len(long)) + 1, long)] = _SHOWN[buf]
+    row = np.repeat(np.arange(len(long)), long + 2)
     keys = []
     value = shown.copy()
     for k in range(1, max(SIZES)):
@@ -89,18 +100,19 @@ def train(docs: DataFrame) -> Model:
     return Model(languages, ((n + 0.1) / (n + 0.1).sum(axis=0)).astype(np.float64) if languages else n)
 
 
-def _mixture(p: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shares of the columns of ``p`` that maximise the likelihood of the counts, and its logarithm."""
+def _mixture(p: np.ndarray, count: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, float, float]:
+    """Shares of the columns of ``p`` that maximise the likelihood of the counts, its logarithm, and the most that any
+    shares can reach. Ends early once that is no more than ``least``."""
     share = np.full(p.shape[1], 1 / p.shape[1])
     total = count.sum()
-    for _ in range(STEPS):
+    for step in itertools.count():
         mixed = p @ share
-        new = share * (p.T @ (count / mixed)) / total
-        done = np.abs(new - share).max() < 1e-3
-        share = new
-        if done:
-            break
-    return share, float(count @ np.log(p @ share))
+        reached = float(count @ np.log(mixed))
+        slope = (p.T @ (count / mixed)) / total
+        most = reached + total * max(0.0, float(np.log(slope.max())))
+        if most - reached <= GAP or most <= least or step == STEPS:
+            return share, reached, most
+        share = share * slope
 
 
 def shares(p: np.ndarray, count: np.ndarray) -> dict[int, float]:
@@ -109,11 +121,11 @@ def shares(p: np.ndarray, count: np.ndarray) -> dict[int, float]:
     chosen = [int(single.argmax())]
     best, found = float(single[chosen[0]]), np.ones(1)
     price = PENALTY * np.log(count.sum() + 1)
-    # The most that any mixture can reach is the mixture of all languages.
-    if p.shape[1] > 1 and _mixture(p, count)[1] - best > price:
+    # No mixture reaches more than the bound of the mixture of all languages.
+    if p.shape[1] > 1 and _mixture(p, count, best + price)[2] - best > price:
         while len(chosen) < p.shape[1]:
-            tried = [(_mixture(p[:, [*chosen, k]], count), k) for k in range(p.shape[1]) if k not in chosen]
-            (share, reached), k = max(tried, key=lambda t: t[0][1])
+            tried = [(*_mixture(p[:, [*chosen, k]], count)[:2], k) for k in range(p.shape[1]) if k not in chosen]
+            share, reached, k = max(tried, key=lambda t: t[1])
             if reached - best <= price:
                 break
             chosen, best, found = [*chosen, k], reached, share
@@ -137,7 +149,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     mixed.append([])
                     continue
                 found = shares(own.likelihood[bucket[a:b]], n[a:b].astype(np.float64))
-                top = max(found, key=lambda j: (found[j], -j))
+                top = max(found, key=found.get)
                 best.append(own.languages[top])
                 score.append(min(1.0, found[top]))
                 mixed.append([(own.languages[j], s) for j, s in sorted(found.items())])
