@@ -75,15 +75,18 @@ def entropy_spans(text, base):
         if any(re.search(p, run) for p in secrets.ALLOWED):
             continue
         least = next(b for shape, b in secrets.LEAST_BITS.items() if re.search(shape, run))
+        words = list(re.finditer("example|sample|dummy|placeholder|xxxx|changeme|your_|0123456789|abcdefgh", run, re.I))
         hot = []
         for i in range(len(run) - secrets.WINDOW + 1):
+            if any(i < w.end() and w.start() < i + secrets.WINDOW for w in words):
+                continue
             part = run[i : i + secrets.WINDOW]
             bits = -sum(part.count(c) / len(part) * math.log2(part.count(c) / len(part)) for c in set(part))
             if bits >= least - 1e-9:
                 hot.append(i)
         if hot:
             a, b = m.start() + hot[0], m.start() + hot[-1] + secrets.WINDOW
-            if not any(x < b and a < y for x, _, y in base):
+            if not any(x <= a and b <= y for x, _, y in base):
                 out.append((a, 3, b))
     return out
 
@@ -97,6 +100,7 @@ def secret_texts():
     out = [*cases.ODD, *pieces]
     for _ in range(120):
         out.append(rng.choice(["", " ", ", "]).join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))))
+    out += ["Zx9Qw3Rt7Yp2Lm8Kd5Vb0123abcdef0123456789abcdefHn4Gj6Fs1Ua9Te3", "Zx9Qw3Rt7Yp2Lm8Kd5VbsampleHn4Gj6Fs1Ua9Te3Xk8Mv"]
     out.append(" ".join("token=value%05d" % i for i in range(900)))
     out.append("".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(700)))
     return out
@@ -132,3 +136,13 @@ def test_redaction(spark):
                 want += t[at:a] + secrets.MARK
             at = max(at, b)
         assert out[i]["text"] == want + t[at:] and out[i]["n_chars"] == len(out[i]["text"])
+
+
+def test_keys_around_patterns_and_allowed_words_go_whole(spark):
+    keys = ["Zx9Qw3Rt7Yp2Lm8Kd5Vb0123abcdef0123456789abcdefHn4Gj6Fs1Ua9Te3", "Zx9Qw3Rt7Yp2Lm8Kd5VbsampleHn4Gj6Fs1Ua9Te3Xk8Mv",
+            "Zx9Qw3Rt7Yp2Lm8Kd5VbdeadbeefdeadbeefdeadbeefHn4Gj6Fs1Ua9Te3"]
+    quiet = ["Zx9Qw3Rt7Yp2sampleHn4Gj6Fs1U", "123e4567-e89b-12d3-a456-426614174000"]
+    texts = [f"a {k} b" for k in keys + quiet]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(cases.docs(spark, texts)).collect()}
+    assert [out[i] for i in range(len(keys))] == [f"a {secrets.MARK} b"] * len(keys)
+    assert [out[len(keys) + i] for i in range(len(quiet))] == texts[len(keys):]

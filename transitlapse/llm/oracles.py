@@ -82,15 +82,18 @@ _LEAST = "CASE " + " ".join(
 _BITS = """-list_sum(list_transform(list_distinct(chars), lambda c: len(list_filter(chars, lambda x: x = c)) / 20e0
   * log2(len(list_filter(chars, lambda x: x = c)) / 20e0)))"""
 _ALLOW = " OR ".join(f"regexp_matches(found, {_quoted(p)})" for p in secrets.ALLOWED)
+_COVERED = "found"
+for _word in secrets.ALLOWED_WORDS:
+    _COVERED = f"regexp_replace({_COVERED}, '{_word}', '{secrets.COVER * len(_word)}', 'gi')"
 SECRETS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (SELECT doc_id, kind, a, b FROM ({_found(0, secrets.ASSIGN, "2")}) WHERE length(value) >= 6
   UNION ALL SELECT doc_id, kind, a, b FROM ({_found(1, secrets.ACCESS)}) UNION ALL SELECT doc_id, kind, a, b FROM ({_found(2, secrets.HEX)})),
 runs AS (SELECT * FROM ({_found(3, secrets.CANDIDATE)}) WHERE NOT ({_ALLOW})),
-windows AS (SELECT doc_id, k, a, i, {_LEAST} AS least_bits, string_split(substr(found, CAST(i + 1 AS INTEGER), 20), '') AS chars
+windows AS (SELECT doc_id, k, a, i, {_LEAST} AS least_bits, string_split(substr({_COVERED}, CAST(i + 1 AS INTEGER), 20), '') AS chars
   FROM runs, unnest(range(0, length(found) - 19)) u(i)),
-hot AS (SELECT doc_id, 3 AS kind, a + min(i) AS a, a + max(i) + 20 AS b FROM windows WHERE {_BITS} >= least_bits - 1e-9 GROUP BY doc_id, k, windows.a),
-spans AS (SELECT * FROM base UNION ALL SELECT h.* FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = h.doc_id AND s.a < h.b AND h.a < s.b)),
+hot AS (SELECT doc_id, 3 AS kind, a + min(i) AS a, a + max(i) + 20 AS b FROM windows WHERE {_BITS} >= least_bits - 1e-9 AND NOT list_contains(chars, '{secrets.COVER}') GROUP BY doc_id, k, windows.a),
+spans AS (SELECT * FROM base UNION ALL SELECT h.* FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = h.doc_id AND s.a <= h.a AND h.b <= s.b)),
 told AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
   string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans
   FROM (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS s FROM spans) GROUP BY 1)

@@ -2,8 +2,10 @@
 
 Only built-in column expressions. Matches are placed by the lengths of the pieces between them. A candidate string
 is a long run of key characters; its entropy over a sliding window is kept up from the counts of the window's
-characters, one in and one out at each step, and the hot windows of a candidate make one span. Candidates on the
-allow list (UUIDs, placeholders, plain words) and those inside a pattern's span are left out.
+characters, one in and one out at each step, and the hot windows of a candidate make one span. Candidates of an
+allowed shape (UUIDs, plain words, numbers) are left out; placeholder words are held against the windows: one that
+touches such a word is never hot, the rest of a key around it still is. A span is dropped only if a pattern's span
+contains it; spans may overlap else.
 
 Spans are in code points, end exclusive. A null text has none; repeated rows get equal spans, an empty table an
 empty result; a kept column named like a result is replaced by it.
@@ -22,9 +24,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+ALLOWED_WORDS = "example sample dummy placeholder xxxx changeme your_ 0123456789 abcdefgh".split()
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|dummy|placeholder|xxxx|changeme|your_|0123456789|abcdefgh",
     r"^[A-Za-z_/-]+$",
     r"^[0-9+/_=-]+$",
 )
@@ -36,6 +38,8 @@ LEAST_BITS = {r"^[0-9a-fA-F_=-]+$": 3.0, r"^[0-9a-z_=-]+$|^[0-9A-Z_=-]+$": 3.4,
 MARK = "[SECRET]"
 _SLOTS = ord("z") - ord("+") + 1
 _BLOCK = 256
+#: Stands for a character of an allowed word; no candidate holds it.
+COVER = "."
 
 
 def _place(d: DataFrame, own: list[str], patterns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -91,7 +95,7 @@ def _hot(codes: Column, least: Column) -> Column:
         total = F.when(F.coalesce(new == old, F.lit(False)), state["total"]).otherwise(state["total"] + grown - shrunk)
         kept = F.transform(counts, lambda c, k: c + (k == new).cast("int") - F.coalesce((k == old).cast("int"), F.lit(0)))
         bits = F.lit(math.log2(WINDOW)) - total / WINDOW
-        hot = (i >= WINDOW - 1) & (bits >= least - 1e-9)
+        hot = (i >= WINDOW - 1) & (bits >= least - 1e-9) & (F.get(kept, F.lit(ord(COVER) - ord("+"))) == 0)
         return F.struct(kept.alias("counts"), total.alias("total"),
                         F.coalesce(state["first"], F.when(hot, i - (WINDOW - 1))).alias("first"),
                         F.when(hot, i + 1).otherwise(state["last"]).alias("last"))
@@ -107,6 +111,14 @@ def _allowed(found: Column) -> Column:
     return out
 
 
+def _covered(found: Column) -> Column:
+    """``found`` with each character of an allowed word covered."""
+    out = found
+    for word in ALLOWED_WORDS:
+        out = F.regexp_replace(out, f"(?i){word}", COVER * len(word))
+    return F.when(found.rlike("(?i)" + "|".join(ALLOWED_WORDS)), out).otherwise(found)
+
+
 def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``spans``: array of (start, end, kind number), by start, then kind as in ``KINDS``."""
     kept = [c for c in dict.fromkeys(keep) if c != "spans"]
@@ -118,7 +130,7 @@ def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
     codes = lambda x: F.filter(F.transform(F.split(x, ""), lambda c: F.ascii(c) - ord("+")), lambda c: c >= 0)
     runs = F.transform(F.filter("runs", lambda x: ~_allowed(x["found"])), lambda x: F.struct(
-        x["start"].alias("start"), codes(x["found"]).alias("codes"), _bits(x["found"]).alias("least")))
+        x["start"].alias("start"), codes(_covered(x["found"])).alias("codes"), _bits(x["found"]).alias("least")))
     values = F.filter(F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2)), lambda x: x.isNotNull())
     d = d.select(*own, F.when(F.size("assign") > 0, values).alias("values"), runs.alias("runs"),
                  *(F.coalesce(n, none).alias(n) for n in ("assign", "access", "hex")))
@@ -131,7 +143,7 @@ def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     more = F.transform(F.filter("hot", lambda x: x["hot"]["first"].isNotNull()), lambda x: F.struct(
         (x["start"] + x["hot"]["first"]).cast("int").alias("start"), F.lit(3).alias("kind"),
         (x["start"] + x["hot"]["last"]).cast("int").alias("end")))
-    more = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    more = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return d.select(*(F.col(o).alias(c) for o, c in zip(own, kept)),
                     F.when(F.size("hot") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", more))).alias("spans"))
 
