@@ -31,6 +31,19 @@ CASES = {
     "<blockquote>q<p>r</blockquote>s": "  q\n\n  r\n\ns",
     "</p></div>": "",
     "<textarea>t < a</textarea>": "t < a",
+    "<head><title>T</title><div>Hello</div>": "Hello",
+    "<html><head><meta charset=x><link rel=y>plain <b>text</b>": "plain text",
+    "<head><script>x</script><style>y</style></head><p>body": "body",
+    "say <q>hi</q>, <q>a <q>b</q></q>": "say “hi”, “a “b””",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes <i>too</i></b> no</div>": "yes too",
+    "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>a</table>": "a",
+    "<form>Name <input value=v><input type=submit value='Send it'>now<input type=hidden value=h></form>": "Name Send it now",
+    "<table><tr><td>a<br>bb<td>c<tr><td>long cell<td>d<br>e</table>": "a          c\nbb\nlong cell  d\n           e",
+    "<table><tr><td colspan=2>wide<td>z<tr><td>a<td>b<td>c</table>": "wide  z\na  b  c",
+    "<table><tr><td rowspan=2>R<td>b<tr><td>c<td>d<tr><td>e<td>f</table>": "R  b\n   c  d\ne  f",
+    "<table><tr><td>" + "x" * 90 + "<td>y</table>": "x" * 90 + "  y",
+    "<table>\n<tr>\n<td rowspan=2>R</td>\n<td>b</td>\n</tr>\n<tr>\n<td>c</td></tr>\n<tr><td>e</td></tr></table>": "R  b\n   c\ne",
+    "<table><tr><td colspan=0>a<td rowspan=x>b<td colspan=99999999999>c</table>": "a  b  c",
     "<details>shown</details><dialog>no</dialog><dialog open>d</dialog>": "shown\nd",
 }
 
@@ -58,6 +71,16 @@ def test_rules_hold_at_every_depth():
         assert html_text.visible_text(f"{deep}<title>T</title>x") == ("T", "x")
 
 
+def test_tables_take_space_in_proportion():
+    wide = "<table><tr><td>" + "x" * 5_000 + "<td>y" + "<tr><td>a<td>b" * 5_000 + "</table>"
+    text = html_text.visible_text(wide)[1]
+    assert len(text) < 31_000 and text.count("\na  b") == 5_000
+    many = "<table><tr>" + "<td rowspan=9000>" + "w" * 70 + ("<td rowspan=9000>" + "w" * 70) * 300 + "<tr><td>b" * 3_000 + "</table>"
+    text = html_text.visible_text(many)[1]
+    assert len(text) < 100_000 and text.count("b") == 3_000
+    assert html_text.visible_text("<table><tr>" + "<td colspan=1000 rowspan=65534>x" * 300 + "<tr><td>y" * 300 + "</table>")[1].count("y") == 300
+
+
 def test_options_in_groups_and_nested_tables():
     groups = "<select><optgroup label=g><option>a<option>b</optgroup><optgroup><option{}>c</optgroup></select>"
     assert html_text.visible_text(groups.format(""))[1] == "a"

@@ -2,7 +2,10 @@
 
 Pages are parsed into a tree (tags that HTML leaves out are implied: a new paragraph, list item, cell or row ends the
 open one), hidden subtrees are left out, and the rest is laid out: blocks on lines of their own, paragraphs apart,
-list items with their mark and depth, preformatted text as it is, table cells padded to columns.
+list items with their mark and depth, preformatted text as it is, table cells padded to columns. A cell of several
+lines is a block of lines beside its neighbours; cells may span columns and rows. Columns are aligned within a page
+width: cells that start beyond PAGE characters, or after a text of more than WIDEST, follow two blanks behind, and
+cells of rows above hold their place in the first MOST_COLUMNS columns. So space stays in proportion to a page's length.
 
 Every page is worked on by itself, in time proportional to its length. Null pages and pages without visible text
 give an empty text; broken markup never fails: what cannot be a tag is text. Repeated rows get equal texts, an empty
@@ -11,6 +14,7 @@ table an empty result; a kept column named like a result is replaced by it.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Generator, Iterator
@@ -38,18 +42,30 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, {"select"}), "a": ({"a"}, {"td", "th", "table"}), "body": ({"head"}, set()),
 }
 
+#: Contents of a head; any other element, or text, ends a head that is open.
+HEAD = set("title meta link base script style noscript template noframes basefont bgsound".split())
+BUTTONS = ("submit", "button", "reset")
+# The largest spans of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+WIDEST, PAGE = 80, 400
+
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CONCEALED = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "attributes", "hidden")
+    """An element: ``hidden`` takes out all that is inside, ``shown`` is inherited and can be set anew inside."""
+
+    __slots__ = ("tag", "children", "attributes", "hidden", "shown")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    def __init__(self, tag: str, attributes: dict[str, str], shown: bool = True):
         self.tag, self.children, self.attributes = tag, [], attributes
+        told = _VISIBILITY.findall(attributes.get("style", ""))
+        self.shown = told[-1].lower() == "visible" if told else shown
         self.hidden = (tag in HIDDEN or "hidden" in attributes or bool(_CONCEALED.search(attributes.get("style", "")))
                        or (tag == "dialog" and "open" not in attributes))
 
@@ -115,12 +131,14 @@ def parse(page: str) -> Node:
 
     def imply(tag: str) -> None:
         """End what the tag ends, and open the row that a cell lies in."""
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close({"head"}, set())
         if tag in PARAGRAPHS or tag in LINES:
             close({"p"}, {"td", "th", "table", "li", "button", "div", "section", "article"} if tag != "p" else {"td", "th", "table", "button"})
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            push(Node("tr", {}))
+            push(Node("tr", {}, stack[-1].shown))
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
@@ -129,17 +147,19 @@ def parse(page: str) -> Node:
 
     for kind, value, source in _tokens(page):
         if kind == "text":
+            if stack[-1].tag == "head" and value.strip():
+                close({"head"}, set())
             stack[-1].children.append(html.unescape(value) if "&" in value and stack[-1].tag not in ("script", "style") else value)
         elif kind == "end":
             if value == "p" and not places.get("p"):
-                stack[-1].children.append(Node("p", {}))
+                stack[-1].children.append(Node("p", {}, stack[-1].shown))
             elif value not in ("html", "body"):
                 close({value}, {"table"} if value not in ("table", "html") else set())
         elif value == "html":
             continue
         else:
             imply(value)
-            node = Node(value, _attributes(source) if source.strip(" /\n\t") else {})
+            node = Node(value, _attributes(source) if source.strip(" /\n\t") else {}, stack[-1].shown)
             if value in VOID:
                 stack[-1].children.append(node)
             else:
@@ -197,37 +217,68 @@ class Layout:
 Steps = Generator[Node, str, None]
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    told = cell.attributes.get(name, "").strip()
+    return min(max(int(told), 1), most) if told.isascii() and told.isdigit() and len(told) < 10 else 1
+
+
 def _table(node: Node, layout: Layout) -> Steps:
-    rows = []
+    rows: list = []
     for child in node.children:
         if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot") and not child.hidden:
-            rows += child.children
-        else:
+            rows += [c for c in child.children if child.shown or isinstance(c, Node)]
+        elif isinstance(child, Node) or node.shown:
             rows.append(child)
-    grid: list[list[str]] = []
+    grid: list[list[tuple[int, int, list[str]]]] = []  # first column, columns and lines of each cell
+    taken: dict[int, int] = {}  # the last row that a cell of a row above holds this column in
+    number = 0
     for row in rows:
         if isinstance(row, str):
             if row.strip():
-                grid.append([_BLANKS.sub(" ", row).strip()])
+                grid.append([(0, 1, [_BLANKS.sub(" ", row).strip()])])
         elif not row.hidden and row.tag not in ("col", "colgroup"):
             cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")] if row.tag == "tr" else []
-            whole = not cells or any((c.strip() if isinstance(c, str) else c not in cells and not c.hidden) for c in row.children)
-            parts = [row] if whole else [c for c in cells if not c.hidden]
-            line = []
-            for c in parts:
-                line.append((yield c))
+            whole = not cells or any((c.strip() and row.shown if isinstance(c, str) else c not in cells and not c.hidden)
+                                     for c in row.children)
+            line, at = [], 0
+            below: dict[int, int] = {}
+            for c in [row] if whole else [c for c in cells if not c.hidden]:
+                while taken.get(at, -1) >= number and not whole:
+                    at += 1
+                columns, down = (1, 1) if whole else (_span(c, "colspan", MOST_COLUMNS), _span(c, "rowspan", MOST_ROWS))
+                text = yield c
+                line.append((at, columns, text.split("\n")))
+                if down > 1:
+                    below.update(dict.fromkeys(range(at, min(at + columns, MOST_COLUMNS)), number + down - 1))
+                at += columns
+            taken.update(below)
+            number += row.tag == "tr"
             grid.append(line)
-    if any("\n" in cell for line in grid for cell in line):  # cells that hold blocks: one below the other
-        for line in grid:
-            for cell in filter(None, line):
-                layout.block(1)
-                layout.preformatted(cell)
-    else:
-        many = [line for line in grid if len(line) > 1]
-        width = [max(len(line[i]) if i < len(line) else 0 for line in many) for i in range(max(map(len, many), default=0))]
-        for line in grid:
+    # Only columns at which some cell starts are laid out; cells alone in their row do not widen them.
+    starts = sorted({at for line in grid for at, _, _ in line})
+    place = {at: i for i, at in enumerate(starts)}
+    width = [0] * len(starts)
+    wide = []
+    for line in grid:
+        for at, columns, text in line if len(line) > 1 or any(c[0] for c in line) else []:
+            first, last = place[at], bisect.bisect_left(starts, at + columns) - 1
+            long = max(map(len, text))
+            if long <= WIDEST:
+                wide.append((last - first, first, last, long))
+    for _, first, last, long in sorted(wide):
+        width[last] = max(width[last], long - sum(w + 2 for w in width[first:last] if w))
+    left = [0]
+    for w in width:
+        left.append(left[-1] + w + 2 if w else left[-1])
+    for line in grid:
+        for k in range(max((len(text) for _, _, text in line), default=0)):
             layout.block(1)
-            shown = "  ".join(c.ljust(width[i]) for i, c in enumerate(line)) if len(line) > 1 else "".join(line)
+            shown = ""
+            for at, _, text in line:
+                if k < len(text) and text[k]:
+                    x = left[place[at]]
+                    fits = x <= PAGE and (not shown or len(shown) + 2 <= x)
+                    shown = (shown.ljust(x) if fits else shown and shown + "  ") + text[k]
             if shown.strip():
                 layout._put(shown.rstrip())
 
@@ -268,17 +319,20 @@ def _render(root: Node, layout: Layout) -> Steps:
     todo: list = [iter(root.children)]
     leave: list = [None]
     open_pre = 0
+    owners = [root]
 
     while todo:
         child = next(todo[-1], None)
         if child is None:
             todo.pop()
+            owners.pop()
             if done := leave.pop():
                 open_pre -= done is _pre_end
                 done()
             continue
         if isinstance(child, str):
-            (layout.preformatted if open_pre else layout.text)(child)
+            if owners[-1].shown:
+                (layout.preformatted if open_pre else layout.text)(child)
             continue
         tag = child.tag
         if child.hidden or (tag == "input" and child.attributes.get("type", "").lower() == "hidden"):
@@ -289,9 +343,13 @@ def _render(root: Node, layout: Layout) -> Steps:
         if tag == "select":
             options = _options(child)
             chosen = next((o for o in options if "selected" in o.attributes), options[0] if options else None)
-            if chosen:
+            if chosen and child.shown:
                 layout.text((yield chosen))
             continue
+        if tag == "input":
+            if child.shown and child.attributes.get("type", "").lower() in BUTTONS and child.attributes.get("value"):
+                layout.text(f" {child.attributes['value']} ")
+            continue
         lines = 2 if tag in PARAGRAPHS else 1 if tag in LINES else 0
         if tag in ("ul", "ol", "menu", "dir") and lists:
             lines = 1
@@ -320,9 +378,11 @@ def _render(root: Node, layout: Layout) -> Steps:
         elif tag in ("blockquote", "dd"):
             layout.indent.append("  ")
             done = layout.indent.pop
-        elif tag in ("q",):
+        elif tag == "q" and child.shown:
             layout.text("“")
+            done = lambda: layout.text("”")
         todo.append(iter(child.children))
+        owners.append(child)
         leave.append((lambda done=done, lines=lines: (done and done(), layout.block(lines))) if lines and done is not _pre_end
                      else done)
         if done is _pre_end:
