@@ -836,6 +836,8 @@ Q["feed_repair"] = f"""SELECT f.source_name, d.stem, d.rows, d.digest, r.reason,
   JOIN fx_feeds f ON f.feed_id = d.feed_id LEFT JOIN (VALUES ('america_net.ZIP', 'stop_times', 'stale', 'repaired'),
     ('asia net (2019).zip', 'stop_times', 'stale', 'as in archive'), ('europe_net.ZIP', 'routes', 'missing', 'repaired'))
     r(source_name, stem, reason, outcome) ON r.source_name = f.source_name AND r.stem = d.stem"""
+Q["kept_pair_summary"] = f"""SELECT d.*, NOT EXISTS (SELECT 1 FROM op_steps s WHERE s.feed_a = d.feed_a AND s.feed_b = d.feed_b) AS computed
+  FROM ({Q["diff_summary"]}) d"""
 Q["stream_ingest"] = "SELECT canonical_id, name, member_count, feed_count FROM op_canonstops"
 Q["components"] = """, op_cedge AS (SELECT 'c:' || CAST(CAST(floor(lat * 50) AS BIGINT) AS VARCHAR) AS a, 'n:' || stop_id AS b FROM op_stops),
   op_cboth AS (SELECT a, b FROM op_cedge UNION SELECT b, a FROM op_cedge),

@@ -20,6 +20,7 @@ from transitlapse.operators import geometry as G
 from transitlapse.operators import grades as GR
 from transitlapse.operators import inspector as I
 from transitlapse.operators import linking as L
+from transitlapse.operators import pair_results as PR
 from transitlapse.operators import population as P
 from transitlapse.operators import registry as R
 from transitlapse.operators import service as S
@@ -345,6 +346,17 @@ def q_diff_summary(ws):
     return D.diff_summary(ws.stop_diff, ws.route_diff)
 
 
+@query
+def q_kept_pair_summary(ws):
+    """The steps are kept first; the second call finds them and computes the remaining pair only."""
+    path = archives.scratch(ws.spark, "pairs")
+    PR.stored_diffs(ws.registry, ws.steps, path)
+    kept = PR.stored_diffs(ws.registry, ws.pairs, path)
+    new = kept.computed.withColumn("computed", F.lit(True))
+    return D.diff_summary(kept.stops, kept.routes).join(new, D.PAIR, "left").withColumn(
+        "computed", F.coalesce("computed", F.lit(False)))
+
+
 @query
 def q_auto_pair(ws):
     return T.auto_pair(ws.feeds)

@@ -53,7 +53,7 @@ def feed_versions(registry: Registry) -> DataFrame:
             ":", F.lit(kind), F.count("*").cast("string"), add(1), add(2)).alias("part"))
 
     parts = digest(registry.stops, _STOPS, "s").unionByName(
-        digest(registry.routes.join(modes, "canonical_id"), _ROUTES, "r"))
+        digest(registry.routes.select("feed_id", *_ROUTES[:-1]).join(modes, "canonical_id"), _ROUTES, "r"))
     return parts.groupBy("feed_id").agg(F.array_join(F.sort_array(F.collect_list("part")), "|").alias("version"))
 
 
