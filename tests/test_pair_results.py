@@ -10,7 +10,7 @@ def registry(spark, stops, routes=(("F1", "r1", "R1", "1", "A - B", "Bus AG"),))
     return Registry(
         stops=spark.createDataFrame(list(stops), "feed_id string, raw_id string, canonical_id string, name string, lat double, lon double"),
         routes=spark.createDataFrame(list(routes), "feed_id string, raw_id string, canonical_id string, short_name string, "
-                                                   "long_name string, agency_name string"),
+                                                   "long_name string, agency_name string").selectExpr("*", "'bus' mode"),
         canonical_stops=spark.createDataFrame([], "canonical_id string"),
         canonical_routes=spark.createDataFrame([(m, "bus") for m in modes], "canonical_id string, mode string"))
 
