@@ -7,14 +7,19 @@ are sorted to that depth only, and only those that can be tied so deep:
    equal minimisers at the same place, so only windows whose minimiser occurs at two places go on; no repeated window
    is lost. This is asked first of ``COARSE`` bytes over all texts, then of ``FINE`` bytes over what is left. Windows
    with one fine minimiser are a bucket: all share its bytes, and differ in the ``length - FINE`` bytes around it.
-2. Difference cover. In a bucket the strings at positions whose offset from the bucket's start, modulo ``PERIOD``,
-   lies in a difference cover are sorted first; their ranks settle ties of the suffixes: a suffix is ordered by its
-   first PERIOD bytes, then by the rank of the next cover position, then by its last bytes. So a sort never holds
-   more than a few bytes a suffix, and equal neighbours are repeated windows.
+2. Difference cover. In a bucket the ``length - FINE`` bytes around the common ones are one short string a row. Its
+   positions that lie, modulo ``PERIOD``, in a difference cover are the sample; sample suffixes are ranked once, by
+   their first PERIOD bytes and then by doubling over the sample alone. All suffixes of the bucket are sorted at once:
+   by the bytes before their next sample position, by the rank there and the rank whose reach ends last inside the
+   window, and by the bytes behind it. So no sort holds more than a few numbers a suffix, however long a tie is, and
+   equal neighbours are repeated windows. Windows that are equal lie alike around their minimiser, so a bucket never
+   has to order suffixes of different offsets.
 3. Surroundings that are equal are merged by aggregation before. A task sorts a few whole buckets at a time. A bucket
-   of more than ``MOST_SORTED`` surroundings is not sorted in one task: its windows are hashed and counted by a
-   shuffle instead.
+   of more than ``MOST_SORTED`` surroundings is cut by its next bytes: half of its suffixes share more bytes before
+   the minimiser, the other half more bytes after it. Both halves are buckets again, told apart by these bytes, until
+   each fits or holds one window only, which needs no sorting.
 
+Texts are read in pieces of ``PIECE`` bytes that overlap by one window, so memory does not grow with a text's length.
 Buckets are told apart by 128 bits. Equal texts are one text from the start; a text with copies is repeated as a
 whole. Matches never cross texts. Null texts are empty, texts shorter than ``length`` lose nothing, repeated rows are
 copies, an empty table gives an empty result, other columns are not kept.
@@ -22,6 +27,7 @@ copies, an empty table gives an empty result, other columns are not kept.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,12 +46,14 @@ FINE = 320
 PERIOD = 13
 # A perfect difference set; every residue but 0 is the difference of exactly one pair.
 COVER = (0, 1, 3, 9)
-MOST_SORTED = 20_000
+#: Surroundings of a bucket that one task sorts; larger buckets are cut by their next bytes first.
+MOST_SORTED = 5_000
+PIECE = 1 << 18
 #: How many numbers of 8 bytes are sent to every executor at most. Beyond, a shuffle takes the place of sending.
 MOST_SENT = 8_000_000
 
 
-def text_key(raw: bytes) -> bytes:
+def text_key(raw: bytes | np.ndarray) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
@@ -96,18 +104,44 @@ class _Chunk:
         return np.repeat((known[near] == key) & good[row[change]], np.diff(np.append(change, n))) & self.whole
 
 
+def _keys(column: pa.Array) -> list[bytes]:
+    data, offsets = scan.text_bytes(column)
+    return [text_key(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _pieces(column: pa.Array, overlap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(first row, row after the last, bytes, offsets, bytes of the text before): whole texts, or a piece of a long one.
+
+    Every string of at most ``overlap`` + 1 bytes of a long text starts in the first ``PIECE`` bytes of one piece.
+    """
+    for first, last, buf, offsets in scan.chunks(column, PIECE):
+        if len(buf) <= PIECE + overlap:
+            yield first, last, buf, offsets, 0
+            continue
+        for a in range(0, len(buf) - overlap, PIECE):
+            part = buf[a : a + PIECE + overlap]
+            yield first, last, part, np.array([0, len(part)]), a
+
+
 def _anchor_column(length: int):
     def run(column: pa.Array) -> list[pa.Array]:
-        keys, sizes, found = [], [], []
-        for _, _, buf, offsets in scan.chunks(column, scan.CHUNK_BYTES // 2):
+        sizes = scan.text_bytes(column)[1]
+        found: list[list[np.ndarray]] = [[] for _ in range(len(column))]
+        end = -1
+        for first, last, buf, offsets, before in _pieces(column, length - 1):
             chunk = _Chunk(buf, offsets, length, COARSE)
             at = chunk.anchors(chunk.whole)
-            raw, cut = buf.tobytes(), np.searchsorted(at, offsets)
+            if before:
+                at = at[at + before > end]  # the piece before may have these
+            cut = np.searchsorted(at, offsets)
             hashes = chunk.gram[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
-            keys += [text_key(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            sizes += np.diff(offsets).tolist()
-            found += [hashes[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            for k in range(last - first):
+                found[first + k].append(hashes[cut[k] : cut[k + 1]])
+            end = at[-1] + before if len(at) else (end if before else -1)
+        counts = [sum(map(len, own)) for own in found]
+        values = np.concatenate([x for own in found for x in own] or [np.zeros(0, np.int64)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+        return [pa.array(_keys(column), pa.binary()), pa.array(np.diff(sizes)), lists]
 
     return run
 
@@ -130,10 +164,9 @@ def _fine_anchors(given: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = batch.column("key").to_pylist(), batch.column("hashes")
-            for first, last, buf, offsets in scan.chunks(batch.column("text"), scan.CHUNK_BYTES // 2):
-                raw = buf.tobytes()
-                good = np.array([text_key(raw[a:b]) == k for a, b, k in zip(offsets[:-1], offsets[1:], keys[first:last])])
-                windows = _Chunk(buf, offsets, length, COARSE).among(hashes.slice(first, last - first), good)
+            all_good = np.array([own == key for own, key in zip(_keys(batch.column("text")), keys)], bool)
+            for first, last, buf, offsets, before in _pieces(batch.column("text"), length - 1):
+                windows = _Chunk(buf, offsets, length, COARSE).among(hashes.slice(first, last - first), all_good[first:last])
                 if not windows.any():
                     continue
                 fine = _Chunk(buf, offsets, length, FINE)
@@ -142,7 +175,7 @@ def _fine_anchors(given: DataFrame, length: int) -> DataFrame:
                 use = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([keys[first + k] for k in use], pa.binary()),
-                    pa.array([(at[cut[k] : cut[k + 1]] - offsets[k]).astype(np.int64) for k in use], pa.list_(pa.int64())),
+                    pa.array([(at[cut[k] : cut[k + 1]] - offsets[k] + before).astype(np.int64) for k in use], pa.list_(pa.int64())),
                     pa.array([rank[cut[k] : cut[k + 1]] for k in use], pa.list_(pa.int64())),
                 ], names=["key", "at", "ranks"])
 
@@ -151,33 +184,44 @@ def _fine_anchors(given: DataFrame, length: int) -> DataFrame:
         "key", F.col("s.at").alias("at"), F.col("s.ranks").alias("rank"))
 
 
+def _gram_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the FINE bytes at each of the ascending positions ``at``, a stretch of ``data`` at a time."""
+    rank, check = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    lo = 0
+    while lo < len(at):
+        hi = int(np.searchsorted(at, at[lo] + PIECE, "right"))
+        part, own = data[at[lo] : at[hi - 1] + FINE], at[lo:hi] - at[lo]
+        rank[lo:hi] = scan.Prefix(scan.BYTE_VALUES[part]).window(own, own + FINE).view(np.int64)
+        check[lo:hi] = scan.Prefix(scan.BYTE_VALUES_2[part], 0xD1342543DE82EF95).window(own, own + FINE).view(np.int64)
+        lo = hi
+    return rank, check
+
+
 def _surroundings(given: DataFrame, length: int) -> DataFrame:
     """(rank, check, left, right, key, at) of the fine minimisers ``at`` of each text: the bytes before and after them."""
     side = length - FINE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places = batch.column("key").to_pylist(), batch.column("at").to_pylist()
-            for first, last, buf, offsets in scan.chunks(batch.column("text"), scan.CHUNK_BYTES // 2):
-                raw = buf.tobytes()
-                good = [text_key(raw[a:b]) == k for a, b, k in zip(offsets[:-1], offsets[1:], keys[first:last])]
-                text = np.repeat(np.arange(last - first), [len(p) if g else 0 for p, g in zip(places[first:last], good)])
-                if not len(text):
-                    continue
-                own = np.concatenate([np.array(p, np.int64) for p, g in zip(places[first:last], good) if g])
-                at = own + offsets[text]
-                a = np.maximum(at - side, offsets[text])
-                b = np.minimum(at + FINE + side, offsets[text + 1])
-                rank = scan.Prefix(scan.BYTE_VALUES[buf]).window(at, at + FINE)
-                check = scan.Prefix(scan.BYTE_VALUES_2[buf], 0xD1342543DE82EF95).window(at, at + FINE)
-                for lo in range(0, len(at), 20_000):
-                    part = slice(lo, lo + 20_000)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(rank[part].view(np.int64)), pa.array(check[part].view(np.int64)),
-                        pa.array([raw[x:y] for x, y in zip(a[part].tolist(), at[part].tolist())], pa.binary()),
-                        pa.array([raw[x:y] for x, y in zip((at[part] + FINE).tolist(), b[part].tolist())], pa.binary()),
-                        pa.array([keys[first + k] for k in text[part]], pa.binary()), pa.array(own[part]),
-                    ], names=["rank", "check", "left", "right", "key", "at"])
+            data, starts = scan.text_bytes(batch.column("text"))
+            keys, places = batch.column("key").to_pylist(), batch.column("at")
+            good = np.array([own == key for own, key in zip(_keys(batch.column("text")), keys)], bool)
+            text = np.repeat(np.arange(len(batch)), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            own = places.flatten().to_numpy(zero_copy_only=False)
+            text, own = text[good[text]], own[good[text]]
+            order = np.lexsort((own, text))
+            text, own = text[order], own[order]
+            place = own + starts[text]  # ascending, as texts lie one after the other
+            for lo in range(0, len(place), 2_000):
+                t, at = text[lo : lo + 2_000], place[lo : lo + 2_000]
+                a, b = np.maximum(at - side, starts[t]), np.minimum(at + FINE + side, starts[t + 1])
+                rank, check = _gram_hashes(data, at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rank), pa.array(check),
+                    pa.array([data[x:y].tobytes() for x, y in zip(a.tolist(), at.tolist())], pa.binary()),
+                    pa.array([data[x:y].tobytes() for x, y in zip((at + FINE).tolist(), b.tolist())], pa.binary()),
+                    pa.array([keys[k] for k in t.tolist()], pa.binary()), pa.array(own[lo : lo + 2_000]),
+                ], names=["rank", "check", "left", "right", "key", "at"])
 
     return given.select("text", "key", "at").mapInArrow(
         run, "rank bigint, check bigint, left binary, right binary, key binary, at bigint")
@@ -196,33 +240,74 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _ordered(*columns: np.ndarray) -> np.ndarray:
-    """Rank of each row among the rows' bytes; equal rows have one rank."""
-    rows = np.ascontiguousarray(np.concatenate(columns, axis=1))
-    return np.unique(rows.view(f"S{rows.shape[1]}").ravel(), return_inverse=True)[1]
-
-
-def _bytes(numbers: np.ndarray) -> np.ndarray:
-    return numbers.astype(">u4").view(np.uint8).reshape(-1, 4)
-
-
-def _sort_buckets(side: int, ranks: list[int], checks: list[int], left: list[bytes], right: list[bytes],
-                  many: list[bool]) -> pa.RecordBatch:
-    """Shifts of each row at which another row of its bucket has the same window."""
+def _ranked(numbers: np.ndarray) -> np.ndarray:
+    return np.unique(numbers, return_inverse=True)[1].reshape(numbers.shape)
+
+
+def _packed(rows: np.ndarray, row: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``count`` (below PERIOD) bytes of each of ``row`` from column ``at`` on, as two numbers."""
+    out = []
+    for part in (range(6), range(6, PERIOD - 1)):
+        number = np.zeros(len(row), np.int64)
+        for k in part:
+            byte = rows[row, np.minimum(at + k, rows.shape[1] - 1)].astype(np.int64)
+            number = number * 257 + np.where(k < count, byte + 1, 0)
+        out.append(number)
+    return out[0], out[1]
+
+
+class _Sample:
+    """Ranks of the sample suffixes of short strings, for each depth PERIOD, 2 PERIOD, 4 PERIOD ... that fits."""
+
+    def __init__(self, bucket: np.ndarray, rows: np.ndarray, depth: int):
+        n, width = rows.shape
+        self.at = np.array([q for q in range(width) if q % PERIOD in COVER])
+        self.column = np.full(width + PERIOD, -1)
+        self.column[self.at] = np.arange(len(self.at))
+        padded = np.concatenate([rows, np.zeros((n, PERIOD), np.uint8)], axis=1)
+        rank = np.repeat(bucket[:, None], len(self.at), axis=1)
+        for lo in range(0, PERIOD, 4):  # four bytes more at a time
+            more = np.zeros(rank.shape, np.int64)
+            for k in range(lo, min(lo + 4, PERIOD)):
+                more = more << 8 | padded[:, self.at + k]
+            rank = _ranked(rank << 32 | more)
+        self.reach = PERIOD
+        while self.reach * 2 <= depth:
+            next_at = self.at + self.reach
+            there = np.where(next_at < width, self.column[np.minimum(next_at, width - 1)], -1)
+            rank = _ranked(rank << 31 | np.where(there >= 0, rank[:, there] + 1, 0))
+            self.reach *= 2
+        self.rank = rank
+
+
+def _sort_buckets(side: int, own: list[list]) -> pa.RecordBatch:
+    """Shifts of each row, between its ``lo`` and ``hi``, at which another row of its bucket has the same window."""
+    b1, b2, ranks, checks, left, right, many, lo, hi = own
     rows, has = _sides(left, right, side)
-    bucket = _bytes(np.unique(np.array([ranks, checks], np.int64), axis=1, return_inverse=True)[1].ravel())
+    bucket = np.unique(np.array([b1, b2], np.int64), axis=1, return_inverse=True)[1].ravel()
+    shifts = np.arange(side + 1)
+    has &= (shifts >= np.array(lo)[:, None]) & (shifts <= np.array(hi)[:, None])
+    sample = _Sample(bucket, rows, side - PERIOD + 1)
+    step = np.array([next(j for j in range(PERIOD) if (side - s + j) % PERIOD in COVER) for s in shifts])
+    again = (side - step - sample.reach) // PERIOD * PERIOD  # from the first rank to the last one inside the window
+    row, shift = np.nonzero(has)
+    first = side - shift + step[shift]
+    second = first + again[shift]
+    ranked = (shift << 50) | sample.rank[row, sample.column[first]]
     twice = np.zeros(has.shape, bool)
-    tail = side - PERIOD + 1
-    cover: dict[int, np.ndarray] = {}
-    for shift in range(side + 1):
-        at, use = side - shift, np.flatnonzero(has[:, shift])
-        if len(use) < 2:
-            continue
-        step = next(j for j in range(PERIOD) if (at + j) % PERIOD in COVER)
-        if at + step not in cover:
-            cover[at + step] = _bytes(_ordered(bucket, rows[:, at + step : at + step + tail]))
-        suffix = _ordered(rows[use, at : at + PERIOD], cover[at + step][use], rows[use, at + tail : at + side])
-        twice[use, shift] = np.bincount(suffix)[suffix] > 1
+    key = _ranked(_ranked(ranked) << 31 | sample.rank[row, sample.column[second]])
+    tied = np.bincount(key, minlength=1)[key] > 1  # the rest is alone already by its ranks
+    row, shift, key, second = row[tied], shift[tied], key[tied], second[tied]
+    behind = second + sample.reach
+    columns = [*_packed(rows, row, side - shift, step[shift]), key, *_packed(rows, row, behind, 2 * side - shift - behind)]
+    order = np.lexsort(columns[::-1])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for column in columns:
+        same &= column[order[1:]] == column[order[:-1]]
+    found = np.zeros(len(order), bool)
+    found[1:] |= same
+    found[:-1] |= same
+    twice[row[order[found]], shift[order[found]]] = True
     twice = (twice | np.array(many, bool)[:, None]) & has
     return pa.RecordBatch.from_arrays([
         pa.array(ranks, pa.int64()), pa.array(checks, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()),
@@ -230,49 +315,45 @@ def _sort_buckets(side: int, ranks: list[int], checks: list[int], left: list[byt
     ], names=["rank", "check", "left", "right", "shifts"])
 
 
-def _sorted_buckets(side: int, group: int = 4_000):
-    """Rows come by rank: whole buckets, about ``group`` rows at a time."""
-    names = ("rank", "check", "left", "right", "many")
+_BUCKET = ["rank", "check", "left", "right"]
+_SORTED = ["b1", "b2", *_BUCKET, "many", "lo", "hi"]
+_SHIFTS = "rank bigint, check bigint, left binary, right binary, shifts array<struct<a:int,b:int>>"
+
+
+def _sorted_buckets(side: int, group: int = 2_000):
+    """Rows come by bucket: whole buckets, about ``group`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in names]
+        held: list[list] = [[] for _ in _SORTED]
         for batch in batches:
-            for lo in range(0, len(batch), group):
-                part = batch.slice(lo, group)
-                for own, name in zip(held, names):
+            for at in range(0, len(batch), group):
+                part = batch.slice(at, group)
+                for own, name in zip(held, _SORTED):
                     own += part.column(name).to_pylist()
                 if len(held[0]) >= group:
                     end = len(held[0])
                     while end and held[0][end - 1] == held[0][-1]:  # the last bucket may go on
                         end -= 1
                     if end:
-                        yield _sort_buckets(side, *(own[:end] for own in held))
+                        yield _sort_buckets(side, [own[:end] for own in held])
                         held = [own[end:] for own in held]
         if held[0]:
-            yield _sort_buckets(side, *held)
+            yield _sort_buckets(side, held)
 
     return run
 
 
-def _hashed_windows(side: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                rows, has = _sides(part.column("left").to_pylist(), part.column("right").to_pylist(), side)
-                row, shift = np.nonzero(has)
-                begin = row * 2 * side + side - shift
-                window = scan.Prefix(scan.BYTE_VALUES[rows.ravel()]).window(begin, begin + side)
-                columns = [part.column(c).take(pa.array(row)) for c in ("rank", "check", "left", "right", "many")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(shift.astype(np.int32)), pa.array(window.view(np.int64))],
-                    names=["rank", "check", "left", "right", "many", "shift", "window"])
-
-    return run
-
-
-_BUCKET = ["rank", "check", "left", "right"]
-_SHIFTS = "rank bigint, check bigint, left binary, right binary, shifts array<struct<a:int,b:int>>"
+def _cut_in_two(buckets: DataFrame, side: int) -> DataFrame:
+    """The suffixes of shift ``lo`` to ``hi`` in two halves, each with a bucket for the bytes that all its windows hold."""
+    middle, halves = "cast((lo + hi) div 2 as int)", []
+    for x, y in (("lo", middle), (f"{middle} + 1", "hi")):
+        halves.append(f"""case when greatest({x}, {side} - octet_length(right)) <= least({y}, octet_length(left)) then
+            struct({x} as lo, {y} as hi,
+                concat(substring(left, octet_length(left) - ({x}) + 1, {x}), substring(right, 1, {side} - ({y}))) as common) end""")
+    cut = buckets.select("b1", "b2", *_BUCKET, "many", F.explode(F.array_compact(F.expr(f"array({', '.join(halves)})"))).alias("half"))
+    key = [F.col("b1"), F.col("b2"), F.col("half.lo"), F.col("half.common")]
+    return cut.select(F.xxhash64(F.lit(1), *key).alias("b1"), F.xxhash64(F.lit(2), *key).alias("b2"), *_BUCKET, "many",
+                      F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"))
 
 
 def _repeated_shifts(surroundings: DataFrame, side: int) -> DataFrame:
@@ -280,22 +361,23 @@ def _repeated_shifts(surroundings: DataFrame, side: int) -> DataFrame:
     place = F.xxhash64("key", "at")
     merged = surroundings.groupBy(*_BUCKET).agg(F.min(place).alias("low"), F.max(place).alias("high"))
     merged = cut_lineage(merged.select(*_BUCKET, (F.col("low") != F.col("high")).alias("many")))
-    size = merged.groupBy("rank").agg(F.count("*").alias("n"))
-    large = cut_lineage(size.where(F.col("n") > MOST_SORTED).select("rank"))
-    common, n_large = merged, large.count()
-    if n_large:
-        common = merged.join(large, "rank", "left_anti")
-    out = common.repartition("rank").sortWithinPartitions("rank").mapInArrow(_sorted_buckets(side), _SHIFTS)
-    if n_large:
-        windows = merged.join(large, "rank").select(*_BUCKET, "many").mapInArrow(
-            _hashed_windows(side), "rank bigint, check bigint, left binary, right binary, many boolean, shift int, window bigint")
-        around = F.xxhash64("left", "right")
-        key = ["rank", "check", "shift", "window"]
-        per = windows.groupBy(*key).agg(F.min(around).alias("low"), F.max(around).alias("high"), F.max("many").alias("any_many"))
-        twice = windows.join(per.where("low <> high or any_many"), key)
-        out = out.unionByName(twice.select(*_BUCKET, F.array(F.struct(
-            F.col("shift").alias("a"), F.col("shift").alias("b"))).alias("shifts")))
-    return out.where(F.size("shifts") > 0)
+    rest = merged.select(F.col("rank").alias("b1"), F.col("check").alias("b2"), *_BUCKET, "many",
+                         F.lit(0).alias("lo"), F.lit(side).alias("hi"))
+    fitting, alone = [], []
+    while True:  # each turn halves the range of shifts: at most log2(side + 1) turns after the first
+        sizes = rest.groupBy("b1", "b2").agg(F.count("*").alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > MOST_SORTED).select("b1", "b2"))
+        if not large.count():
+            fitting.append(rest)
+            break
+        fitting.append(rest.join(large, ["b1", "b2"], "left_anti"))
+        cut = rest.join(large, ["b1", "b2"])
+        alone.append(cut.where("lo = hi").select(  # a bucket of one window, which several rows have
+            *_BUCKET, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("shifts")))
+        rest = cut_lineage(_cut_in_two(cut.where("lo < hi"), side))
+    sort = functools.reduce(DataFrame.unionByName, fitting).select(*_SORTED)
+    found = sort.repartition("b1").sortWithinPartitions("b1").mapInArrow(_sorted_buckets(side), _SHIFTS)
+    return functools.reduce(DataFrame.unionByName, alone, found.where(F.size("shifts") > 0))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
