@@ -484,6 +484,12 @@ def pop_grid(win) -> str:
       GROUP BY 1, 2, 3"""
 
 
+def pop_blocks(size: int) -> str:
+    """People in blocks of ``size`` x ``size`` pixels, counted from the lattice's origin."""
+    return f"""SELECT yr, CAST(floor(px_row / {size}e0) AS BIGINT) AS row, CAST(floor(px_col / {size}e0) AS BIGINT) AS col,
+      sum(CAST(value * CASE WHEN yr = 2025 THEN 1e0 ELSE 0.01e0 END AS DECIMAL(28, 6))) AS people FROM fx_pop_pixels GROUP BY 1, 2, 3"""
+
+
 def hectares(win) -> str:
     return (f"({num(win.cell_x * win.cell_y * 111320.0 * 111320.0 / 10000)} * cos(radians({num(win.north)} - (row + 0.5e0) * {num(win.cell_y)})))")
 
@@ -712,6 +718,11 @@ Q: dict[str, str] = {
     "pop_year": f"SELECT feed_id, year, {pop_year('year')} AS pop_year FROM op_years",
     "pop_pyramid": f"SELECT yr, row, col, {half('people', 2)} AS people FROM op_popextent",
     "pop_grid": f"SELECT yr, row, col, {half('people', 2)} AS people FROM op_popview",
+    "pop_grid_level": f"""SELECT yr, row - {_V.top // 8} AS row, col - {_V.left // 8} AS col, {half('CAST(people AS DOUBLE)', 2)} AS people
+      FROM ({pop_blocks(8)}) WHERE row BETWEEN {_V.top // 8} AND {(_V.top + _V.rows - 1) // 8}
+      AND col BETWEEN {_V.left // 8} AND {(_V.left + _V.cols - 1) // 8}""",
+    "pop_levels": " UNION ALL ".join(f"""SELECT {x} AS level, yr, count(*) AS cells, {half('CAST(sum(people) AS DOUBLE)', 2)} AS people,
+      {half('CAST(max(people) AS DOUBLE)', 2)} AS top FROM ({pop_blocks(x)}) GROUP BY yr""" for x in (1, 2, 4, 8)),
     "pop_density": f"""SELECT yr, row, col, {half('people', 2)} AS people, {half('density', 4)} AS density, {half('norm', 4)} AS norm, class,
       {cell_box(_V.west, _V.north, _V.cell_x, _V.cell_y)} AS geometry FROM op_popdensity""",
     "pop_scale": f"SELECT yr, {half('p_value', 4)} AS p_value, {half('top', 4)} AS top, {half('scale', 4)} AS scale FROM op_popscale",

@@ -22,6 +22,7 @@ from transitlapse.operators import inspector as I
 from transitlapse.operators import linking as L
 from transitlapse.operators import pair_results as PR
 from transitlapse.operators import population as P
+from transitlapse.operators import pyramid as Y
 from transitlapse.operators import registry as R
 from transitlapse.operators import service as S
 from transitlapse.operators import timeline as T
@@ -574,7 +575,22 @@ def q_pop_pyramid(ws):
 
 @query
 def q_pop_grid(ws):
-    return rounded(P.population_grid(ws.view("fx_pop_pixels"), ws.pop_view), people=2)
+    return rounded(Y.stored_grid(ws.spark, ws.pyramid, ws.pop_view), people=2)
+
+
+@query
+def q_pop_grid_level(ws):
+    """The view in cells of 8 x 8 pixels, widened to whole ones."""
+    return rounded(Y.stored_grid(ws.spark, ws.pyramid, ws.pop_wide), people=2)
+
+
+@query
+def q_pop_levels(ws):
+    """What each stored level holds."""
+    levels = [ws.pyramid.level_table(ws.spark, x).select(F.lit(x).alias("level"), "yr", "people") for x in ws.pyramid.levels]
+    held = functools.reduce(DataFrame.unionByName, levels).groupBy("level", "yr").agg(
+        F.count("*").alias("cells"), F.sum("people").cast("double").alias("people"), F.max("people").cast("double").alias("top"))
+    return rounded(held, people=2, top=2)
 
 
 def _density(ws: Workspace) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from transitlapse.operators import frequency as FQ
 from transitlapse.operators import geometry as G
 from transitlapse.operators import grades as GR
 from transitlapse.operators import population as P
+from transitlapse.operators import pyramid as Y
 from transitlapse.operators import registry as R
 from transitlapse.operators import timeline as T
 from transitlapse.schema import STEM_COLUMNS, Feeds, conform
-from transitlapse.session import cut_lineage
+from transitlapse.session import cut_lineage, shared_folder
 
 # The map request used by the raster queries: west, south, east, north.
 VIEW = (13.0, 47.0, 14.9, 47.9)
@@ -91,8 +93,16 @@ class Workspace:
         side = lambda x: years.select(F.col("feed_id").alias(f"feed_{x}"), F.col("year").alias(f"year_{x}"))
         return self.pairs.join(side("a"), "feed_a").join(side("b"), "feed_b")
 
+    @cached_property
+    def pyramid(self) -> Y.Pyramid:
+        """The pixels stored in tiles: small ones, as the given pixels cover two degrees only."""
+        made = Y.Pyramid(f"{shared_folder(self.spark)}/pyramid-{uuid.uuid4().hex}", (1, 2, 4, 8), 512)
+        Y.store_pyramid(self.view("fx_pop_pixels"), made)
+        return made
+
     pop_view = P.pixel_window(POP_VIEW)
     pop_extent = P.pixel_window(POP_EXTENT)
+    pop_wide = Y.aligned_window(POP_VIEW, 8)
 
 
 _shared: dict[tuple[str, str], Workspace] = {}
