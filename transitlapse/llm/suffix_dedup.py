@@ -357,7 +357,10 @@ def _cut_in_two(buckets: DataFrame, side: int) -> DataFrame:
 
 
 def _repeated_shifts(surroundings: DataFrame, side: int) -> DataFrame:
-    """(rank, check, left, right, shifts): how far before a minimiser in these surroundings repeated windows start."""
+    """(rank, check, left, right, shifts): how far before a minimiser in these surroundings repeated windows start.
+
+    One row for each of the surroundings, so that joining them to their places makes no more rows than places.
+    """
     place = F.xxhash64("key", "at")
     merged = surroundings.groupBy(*_BUCKET).agg(F.min(place).alias("low"), F.max(place).alias("high"))
     merged = cut_lineage(merged.select(*_BUCKET, (F.col("low") != F.col("high")).alias("many")))
@@ -377,7 +380,13 @@ def _repeated_shifts(surroundings: DataFrame, side: int) -> DataFrame:
         rest = cut_lineage(_cut_in_two(cut.where("lo < hi"), side))
     sort = functools.reduce(DataFrame.unionByName, fitting).select(*_SORTED)
     found = sort.repartition("b1").sortWithinPartitions("b1").mapInArrow(_sorted_buckets(side), _SHIFTS)
-    return functools.reduce(DataFrame.unionByName, alone, found.where(F.size("shifts") > 0))
+    shifts = functools.reduce(DataFrame.unionByName, alone, found.where(F.size("shifts") > 0))
+    ranges = F.array_sort(F.flatten(F.collect_list("shifts")))  # at most one for each shift
+    return shifts.groupBy(*_BUCKET).agg(ranges.alias("shifts")).withColumn("shifts", F.expr("""
+        aggregate(shifts, cast(array() as array<struct<a:int,b:int>>), (done, x) -> case
+            when try_element_at(done, -1).b + 1 >= x.a then concat(slice(done, 1, size(done) - 1), array(named_struct(
+                'a', try_element_at(done, -1).a, 'b', greatest(try_element_at(done, -1).b, x.b))))
+            else concat(done, array(x)) end)"""))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
