@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 WS = "[\\s" + "".join(chr(c) for c in [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                                          0x3000, 0xFEFF]) + "]"
 
-# Words that mark a platform, and station words, most specific first.
-PLATFORM_WORDS = ["steig", r"stg\.?", "gleis", r"gl\.?", "bahnsteig", r"bstg\.?", "kante", "platform",
-                  r"plat\.?", "ausgang"]
-STATION_WORDS = [["hauptbahnhof", "hbf"], ["bahnhof", "bhf"], ["bahnhst", "bst"], ["haltestelle", "hst"],
-                 ["station"]]
+# A platform with its argument; station words, most specific first; a closing remark in parentheses.
+PLATFORM = r"(?i)(?:[\s,/-]+)(?:steig|stg\.?|gleis|gl\.?|bahnsteig|bstg\.?|kante|platform|plat\.?|ausgang)[\s._-]*[0-9a-z]+\b"
+STATIONS = [r"(?i)\b(?:hauptbahnhof|hbf)\b", r"(?i)\b(?:bahnhof|bhf)\b", r"(?i)\b(?:bahnhst|bst)\b", r"(?i)\b(?:haltestelle|hst)\b",
+            r"(?i)\b(?:station)\b"]
+CLOSING_REMARK = r"\s*\([^)]*\)\s*$"
 # Punctuation folded to blanks; the loose form also folds the hyphen.
 PUNCTUATION = r"[._/\\,;:\"'`()\[\]{}!?*+=<>#]"
 PUNCTUATION_AND_HYPHEN = r"[._/\\,;:\"'`()\[\]{}!?*+=<>#-]"
@@ -66,11 +66,8 @@ def squeeze(c: Column) -> Column:
 
 def normalize_stop_name(c: Column) -> Column:
     s = F.lower(fold(c))
-    platform = r"(?i)(?:[\s,/-]+)(?:" + "|".join(PLATFORM_WORDS) + r")[\s._-]*[0-9a-z]+\b"
-    s = F.regexp_replace(s, platform, " ")
-    for words in STATION_WORDS:
-        s = F.regexp_replace(s, r"(?i)\b(?:" + "|".join(words) + r")\b", " ")
-    s = F.regexp_replace(s, r"\s*\([^)]*\)\s*$", " ")
+    for pattern in (PLATFORM, *STATIONS, CLOSING_REMARK):
+        s = F.regexp_replace(s, pattern, " ")
     s = F.regexp_replace(s, PUNCTUATION, " ")
     s = F.regexp_replace(s, WS + "+-" + WS + "+", " ")
     return squeeze(s)
