@@ -1,7 +1,9 @@
 """Truth tables of the scalar functions, and numbering and percentiles against plain Python."""
 
+import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,28 @@ def test_reload_plan(spark):
     raw = spark.createDataFrame([("old",), ("half",), ("raw",)], "feed_id string")
     plan = {r.feed_id: r.how for r in store.reload_plan(files, raw).collect()}
     assert plan == {"ok": "tables", "old": "archive", "half": "archive", "raw": "archive", "lost": "missing"}
+
+
+def test_grade_of_a_cell_is_compiled_and_as_in_the_table(spark):
+    win = GR.cell_window((13.0, 47.0, 13.05, 47.05))
+    places = [("f", 47.02 + 0.0011 * k, 13.02 + 0.0017 * (k % 5), k % 8 + 1) for k in range(12)]
+    grid = GR.grade_grid(spark.createDataFrame(places, "feed_id string, lat double, lon double, category int"), win)
+    best = {}
+    for _, lat, lon, k in places:
+        for row, col in itertools.product(range(win.rows), range(win.cols)):
+            y, x = win.north - (row + 0.5) * win.cell_y, win.west + (col + 0.5) * win.cell_x
+            h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+            d = 2 * 6_371_000.0 * math.asin(math.sqrt(h))
+            at = next((i for i, b in enumerate(GR.DISTANCE_BREAKS_M) if d <= b), None)
+            if d <= GR.MAX_RADIUS_M[k - 1] and at is not None and GR.GRADE[k - 1][at] is not None:
+                found = (GR.GRADE[k - 1][at], round(d, 6), k)
+                best[row, col] = min(best.get((row, col), found), found)
+    assert {(r.row, r.col): (r.grade, round(r.dist_m, 6), r.category) for r in grid.collect()} == best
+    # The virtual machine leaves methods of more than 8,000 bytes to its interpreter.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = GR.grade_grid(spark.createDataFrame(places, "feed_id string, lat double, lon double, category int"), win)
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000
