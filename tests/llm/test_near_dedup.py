@@ -173,3 +173,30 @@ def test_pairs_at_the_least_similarity_share_a_sketch(n):
             (x, y), _ = near_dedup.text_sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]))
             met += bool(np.isin(x, y).any())
         assert met >= least * 150, (similarity, met)
+
+
+def test_unlike_texts_of_a_passage_are_not_aligned_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(50)]) for _ in range(150)]
+    aligned, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, codes: aligned.append(pairs.count()) or verified(pairs, codes))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(cases.docs(spark, texts)).collect()}
+    assert got == {i: i for i in range(150)}
+    assert sum(aligned) < 2 * near_dedup.SKETCHES * 150 and sum(aligned[2:]) < 150
+
+
+def test_marks_bound_the_words_in_common():
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 80, 900, 5000):
+        a = rng.integers(0, max(1, n // 2), n).astype(np.uint64)
+        b = np.where(rng.random(n) < 0.2, rng.integers(0, 2**40, n).astype(np.uint64), a)
+        marks = near_dedup.word_marks(np.concatenate([a, b]), np.array([0, n, n, 2 * n]))
+        assert not marks[1].any()
+        bits = lambda x: int(np.bitwise_count(x).sum())
+        common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        assert bits(marks[0]) <= n
+        assert common <= bits(marks[0] & marks[2]) + min(n - bits(marks[0]), n - bits(marks[2]))

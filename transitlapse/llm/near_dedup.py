@@ -7,7 +7,8 @@ are one node from the start.
 
 Members of a sketch's bucket are first compared with the bucket's smallest and largest node: each node with the leader
 it shares most sketches with, then the pairs that are still in different classes. Then all other pairs of a bucket that
-are in different classes, as far as their lengths and the places of the shared sketch allow a link. A pair is linked if
+are in different classes, as far as their lengths, the places of the shared sketch and the number of words they can have
+in common allow a link; that number is bounded from above by bit maps of the words, so no link is lost. A pair is linked if
 the edit distance of the word sequences is at most a fifth of the longer one, found by alignment in a band that is
 widened as needed. Classes are the connected components of links.
 
@@ -41,6 +42,8 @@ RUNS = ((1, 4, 12), (2, 10, 37), (3, 30, 1 << 62))
 PICK = 2
 SKETCHES = 48
 SIMILARITY = 0.8
+#: Numbers of 64 bits in the bit map of a text's words.
+MARKS = 16
 #: Ids of candidates are sent to every executor up to this many (about 60 bytes each), joined by shuffle beyond.
 MOST_SENT = 1_000_000
 
@@ -125,16 +128,39 @@ def text_sketches(word: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray]
     return [np.concatenate(x) if x else none[0] for x in out], [np.concatenate(x) if x else none[1] for x in at]
 
 
+def word_marks(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bit map of each text's words, each word told apart by its occurrence number.
+
+    A word that only one of two texts has sets at most one bit that only that one has, so the bits in common and the
+    lesser of the two numbers of words that set no bit of their own bound the words in common from above.
+    """
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    own = scan.mix(code.astype(np.uint64) + scan.mix(text.astype(np.uint64), 26))
+    order = np.argsort(own, kind="stable")
+    new = np.ones(len(own), bool)
+    new[1:] = own[order][1:] != own[order][:-1]
+    number = np.empty(len(own), np.uint64)
+    number[order] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+    bit = scan.mix(code.astype(np.uint64) + number * np.uint64(0x2545F4914F6CDD1D), 27) % np.uint64(64 * MARKS)
+    out = np.zeros((len(first) - 1, MARKS), np.uint64)
+    np.bitwise_or.at(out, (text, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def _sketch_column(column: pa.Array) -> list[pa.Array]:
-    keys, found, at, words = [], [], [], []
-    for _, _, buf, offsets in scan.chunks(column, scan.CHUNK_BYTES // 2):
+    keys, found, at, words, marks, spare = [], [], [], [], [], []
+    for _, _, buf, offsets in scan.chunks(column, 2 * scan.CHUNK_BYTES):
         word, first = _words(buf, offsets)
         keys += _keys(buf, offsets, word, first)
         own, places = text_sketches(word, first)
         found += [x.view(np.int64) for x in own]
         at += places
         words += np.diff(first).tolist()
-    return [pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(words, pa.int32())]
+        own = word_marks(word >> np.uint64(32), first)
+        marks += list(own.view(np.int64))
+        spare += (np.diff(first) - np.bitwise_count(own).sum(axis=1, dtype=np.int64)).tolist()
+    return [pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())),
+            pa.array(words, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(spare, pa.int32())]
 
 
 def _key_column(column: pa.Array) -> list[pa.Array]:
@@ -259,32 +285,42 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
-    """``members`` with the class of each node, of the sketches that several classes have."""
+    """``members`` with the class of each node, of the sketches that several classes have, without their leaders."""
     of = label.select(F.col("node").alias("key"), F.col("component").alias("of"))
     placed = members.join(of, "key", "left").withColumn("of", F.coalesce("of", "key"))
-    several = placed.groupBy("sketch").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("sketch")
-    return placed.join(several, "sketch", "left_semi").distinct()
+    several = placed.groupBy("sketch").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("key").alias("low"),
+                                           F.max("key").alias("high")).where("x <> y").select("sketch", "low", "high")
+    return placed.join(several, "sketch").where("key <> low AND key <> high").drop("low", "high").distinct()
 
 
-#: Whether the sides a and b of a shared sketch can be linked: lengths and places within the edits allowed.
-_CAN = """a.sketch = b.sketch AND a.band = b.near AND a.cell = b.near_cell AND a.key < b.key AND a.of <> b.of
+#: Whether the sides a and b of a shared sketch can be linked: lengths, places and words in common within the edits
+#: allowed. Side b is the one in the longer band; in one band both see each other, so there the keys decide.
+_CAN = f"""a.sketch = b.sketch AND a.near = b.band AND a.near_cell = b.cell AND a.of <> b.of
+    AND (a.band < b.band OR a.key < b.key)
     AND abs(a.words - b.words) <= floor(greatest(a.words, b.words) * 0.2 + 1e-9)
-    AND abs(a.place - b.place) <= floor(greatest(a.words, b.words) * 0.2 + 1e-9)"""
+    AND abs(a.place - b.place) <= floor(greatest(a.words, b.words) * 0.2 + 1e-9)
+    AND {" + ".join(f"bit_count(a.m{i} & b.m{i})" for i in range(MARKS))} + least(a.spare, b.spare)
+        >= greatest(a.words, b.words) - floor(greatest(a.words, b.words) * 0.2 + 1e-9)"""
 
 
-def _rest_of_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
-    """All pairs (a, b) of one bucket in different classes that lengths and places allow.
+def _rest_of_buckets(members: DataFrame, marks: DataFrame, label: DataFrame) -> DataFrame:
+    """All pairs (a, b) of one bucket in different classes, leaders apart, that may be linked by ``_CAN``.
 
     A bucket is split before it is joined: by bands of length, a factor of 1.25 each, so that partners are at most a
-    band apart, and by the place of the sketch in cells that are wider than the edits allowed in the band.
+    band apart, and by the place of the sketch in cells twice as wide as the edits allowed in the band.
     """
     left = cut_lineage(_apart(members, label))
-    band = F.floor(F.log(F.col("words").cast("double")) / F.log(F.lit(1.25)))
-    cell = lambda b: F.floor(F.col("place") / (F.lit(0.4) * F.pow(F.lit(1.25), b)))
-    a = left.withColumn("band", band).withColumn("cell", cell(F.col("band")))
-    b = left.withColumn("near", F.explode(F.sequence(band - 1, band + 1)))
-    b = b.withColumn("near_cell", F.explode(F.sequence(cell(F.col("near")) - 1, cell(F.col("near")) + 1)))
-    return a.alias("a").join(b.alias("b"), F.expr(_CAN)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    nodes = left.select("key").distinct()
+    own = cut_lineage(marks.join(nodes, "key", "left_semi").dropDuplicates(["key"]).select(
+        "key", "spare", *[F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)]))
+    left = left.join(own, "key").withColumn("band", F.floor(F.log(F.col("words").cast("double")) / F.log(F.lit(1.25))))
+    edits = lambda b: F.lit(0.25) * F.pow(F.lit(1.25), b) + F.lit(1e-6)
+    cell = lambda place, b: F.floor(place / (2 * edits(b)))
+    a = left.withColumn("near", F.explode(F.sequence("band", F.col("band") + 1))).withColumn("near_cell", F.explode(
+        F.sequence(cell(F.col("place") - edits(F.col("near")), F.col("near")), cell(F.col("place") + edits(F.col("near")), F.col("near")))))
+    b = left.withColumn("cell", cell(F.col("place"), F.col("band")))
+    return a.alias("a").join(b.alias("b"), F.expr(_CAN)).select(
+        F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 
 def _sent(df: DataFrame, n: int) -> DataFrame:
@@ -309,7 +345,8 @@ def _codes(docs: DataFrame, made: DataFrame, pairs: DataFrame) -> DataFrame:
 def _node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every document, and (node, component) of every linked key."""
     fields = [T.StructField("key", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())),
-              T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("words", T.IntegerType())]
+              T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("words", T.IntegerType()),
+              T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("spare", T.IntegerType())]
     made = cut_lineage(scan.add_columns(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), ["doc_id"], fields, _sketch_column))
     members = made.select("key", "words", F.explode(F.arrays_zip("sketches", "places")).alias("s")).select(
         "key", "words", F.col("s.sketches").alias("sketch"), F.col("s.places").alias("place"))
@@ -336,7 +373,7 @@ def _node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         label = _labels(links)
 
     # What the leaders leave apart: every other pair of a bucket.
-    rest = cut_lineage(_rest_of_buckets(members, label).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = cut_lineage(_rest_of_buckets(members, made.select("key", "marks", "spare"), label).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         found = cut_lineage(_verified(rest, _codes(docs, made, rest)))
         if found.limit(1).count():
