@@ -124,3 +124,19 @@ def test_crc_is_the_contracts(spark):
 
     row = packing.pack(cases.docs(spark, ["a b"]), tokenizer_file()).select("ids", F.crc32("ids").alias("c")).first()
     assert row["c"] == zlib.crc32(bytes(row["ids"]))
+
+
+def test_encoding_needs_little_memory_beside_the_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    some = ["word%d" % i for i in range(500)]
+    column = pa.array([" ".join(rng.choice(some, 1500)) for _ in range(250)])
+    size = sum(len(x) for x in tokens.encode_column(column, tokenizer_file()))  # the worker knows its pieces now
+    tracemalloc.start()
+    assert sum(len(x) for x in tokens.encode_column(column, tokenizer_file())) == size
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20, peak
